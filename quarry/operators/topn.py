@@ -1,0 +1,92 @@
+"""Top N rows of every group by partition lower bounds.
+
+The N-th best row of one partition's share of a group is a lower bound for the
+N-th best row of the whole group, so the greatest of these bounds still keeps
+every row that can be among the first N. The plan is
+
+1. rank each group inside each scan partition; Spark's window group limit cuts
+   the ranked rows before they are shuffled, so a group sends at most N rows a
+   partition, whatever its size;
+2. the greatest local N-th row of a group is its bound;
+3. join the bounds to the rows: the groups with most local bounds, which are
+   the hot ones, are joined map-side, so their rows are cut before the shuffle.
+   That broadcast holds at most `HOT_GROUPS` rows by a limit. All other groups
+   join their bound in the shuffle that the ranking needs anyway;
+4. rank the survivors.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Most rows of the broadcast with the bounds of hot groups. It decides only where a row is cut, never whether.
+HOT_GROUPS = 1024
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], n: int, place: str = "place") -> DataFrame:
+    """The first `n` distinct rows of every group with their places 1..n.
+
+    df: may hold only the columns in `keys` and `order`; repeated rows count once.
+    order: (column, descending) from the most to the least important; together
+    they must tell rows apart, else equal rows are one row.
+
+    Nulls in a key form a group of their own; a null in an ordering column comes
+    last. An empty table gives an empty result; groups with fewer than `n` rows
+    give what they have.
+    """
+    cols = [c for c, _ in order]
+    rows = df.select(*keys, *cols)
+    how = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+
+    part = _fresh("part", rows.columns)
+    rank = _fresh("rank", rows.columns)
+    local = (
+        rows.withColumn(part, F.spark_partition_id())
+        .withColumn(rank, F.dense_rank().over(Window.partitionBy(*keys, part).orderBy(*how)))
+        .filter(F.col(rank) <= n)
+        .filter(F.col(rank) == n)
+        .dropDuplicates([*keys, part])
+    )
+    bound, parts = _fresh("bound", rows.columns), _fresh("parts", rows.columns)
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(*how))
+    bounds = (
+        local.withColumn(rank, best)
+        .withColumn(parts, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        .filter(F.col(rank) == 1)
+        .select(*[F.col(k).alias(f"{bound}_{k}") for k in keys], F.struct(*cols).alias(bound), parts)
+    )
+    hot = bounds.orderBy(F.desc(parts), *[f"{bound}_{k}" for k in keys]).limit(HOT_GROUPS).drop(parts)
+    kept = _cut(rows, F.broadcast(hot), keys, order, bound)
+    kept = _cut(kept, bounds.drop(parts), keys, order, bound)
+    ranked = kept.withColumn(place, F.dense_rank().over(Window.partitionBy(*keys).orderBy(*how)).cast("bigint"))
+    return ranked.filter(F.col(place) <= n).dropDuplicates([*keys, place])
+
+
+def _cut(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], bound: str) -> DataFrame:
+    on = None
+    for k in keys:
+        same = rows[k].eqNullSafe(bounds[f"{bound}_{k}"])
+        on = same if on is None else on & same
+    joined = rows.join(bounds, on, "left")
+    return joined.filter(F.col(bound).isNull() | ~_behind(order, bound)).select(*rows.columns)
+
+
+def _behind(order: Sequence[tuple[str, bool]], bound: str) -> Column:
+    """The row comes strictly after the bound; nulls come last."""
+    out: Column = F.lit(False)
+    for c, desc in reversed(order):
+        own, other = F.col(c), F.col(bound)[c]
+        worse = own < other if desc else own > other
+        worse = F.coalesce(worse, own.isNull() & other.isNotNull())
+        out = worse | (own.eqNullSafe(other) & out)
+    return out
+
+
+def _fresh(name: str, taken: Sequence[str]) -> str:
+    out, low = f"_{name}", {c.lower() for c in taken}
+    while any(c == out or c.startswith(f"{out}_") for c in low):
+        out = f"_{out}"
+    return out

@@ -1,0 +1 @@
+"""Left empty on purpose: the engine is a batch engine without watermarks or stream state."""
