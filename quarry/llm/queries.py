@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.p4 import p4_found, p4_rates
+from quarry.llm.p5 import p5_found, p5_redacted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_rates": p4_rates}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted}
 ORACLE: dict[str, str] = {}
