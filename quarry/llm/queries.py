@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.p4 import p4_found, p4_rates
 from quarry.llm.p5 import p5_found, p5_redacted
+from quarry.llm.p7 import p7_found, p7_items
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_items": p7_items}
 ORACLE: dict[str, str] = {}
