@@ -92,18 +92,18 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str, capacity: str, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str, capacity: str, expected: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(profile, packet, key, piece, start, tokens): every item laid into packets of each capacity.
 
     An item that alone exceeds the capacity is split into full pieces and a
     rest, 0-based; all others stay whole as piece 0. Items are dealt by hash of
     their key to shards of about `shard_items`, each packed by best fit
-    decreasing, so no task grows with the data. Items of null, zero or negative
+    decreasing, so no task grows with the data; `expected`, about the number of
+    items, sets how many shards there are. Items of null, zero or negative
     size and null or non-positive capacities give no row; a repeated key is laid
     as often as it comes.
     """
-    count = items.count()
-    shards = max(1, -(-count // shard_items))
+    shards = max(1, -(-expected // shard_items))
     caps = limits.select(F.col(profile).alias("profile"), F.col(capacity).cast("bigint").alias("capacity")).filter("capacity > 0").distinct()
     dealt = items.filter(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
     kind = items.schema[key].dataType.simpleString()
@@ -131,8 +131,9 @@ def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str,
 
 
 def p6_packets(spark: SparkSession, folder: str) -> DataFrame:
-    docs = token_counts(table(spark, folder, "documents"), "doc_id", "text")
-    return pack(docs, "doc_id", "tokens", table(spark, folder, "packet_limits"), "profile", "max_approx_tokens")
+    docs = table(spark, folder, "documents")
+    sizes = token_counts(docs, "doc_id", "text")
+    return pack(sizes, "doc_id", "tokens", table(spark, folder, "packet_limits"), "profile", "max_approx_tokens", docs.count())
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
