@@ -39,11 +39,11 @@ def traces(facts: DataFrame, max_steps: int = MAX_STEPS, cut_every: int = 4) ->
     """
     flow = _last_write(facts)
     kinds = facts.select("id", "kind")
-    edges = flow.join(kinds, "id").filter(F.col("kind").isin("propagation", "sink"))
+    edges = flow.join(kinds, "id").filter(F.col("kind").isin("propagation", "sink")).select(F.col("from_id").alias("at"), F.col("id").alias("next"), "kind")
     front = facts.filter("kind = 'source' and output is not null").select(F.col("id").alias("source_id"), F.col("id").alias("at"))
     out: DataFrame | None = None
     for step in range(max_steps + 1):
-        hit = front.join(edges, front["at"] == edges["from_id"]).select("source_id", edges["id"].alias("at"), "kind").distinct()
+        hit = front.join(edges, "at").select("source_id", F.col("next").alias("at"), "kind").distinct()
         if step and step % cut_every == 0:
             hit = materialize(hit, "taint")
             if hit.isEmpty():

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import core_facts, core_findings
+from quarry.plans import core_facts, core_files, core_findings
 from quarry.plans.p1 import P1_FOUND_SQL, p1_found
 from quarry.plans.p2 import p2_found
 
-_PARTS = [core_findings, core_facts]
+_PARTS = [core_findings, core_facts, core_files]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found}
 ORACLE: dict[str, str] = {"p1_found": P1_FOUND_SQL}

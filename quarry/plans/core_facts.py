@@ -122,10 +122,10 @@ def q7_enclosing(spark: SparkSession, folder: str) -> DataFrame:
 _FLOW = FACTS + """,
 w AS (SELECT r.id, r.kind, (SELECT w.id FROM facts w WHERE w.function = r.function AND w.output = r.input AND w.line < r.line ORDER BY w.line DESC LIMIT 1) AS from_id FROM facts r WHERE r.input IS NOT NULL),
 fl AS (SELECT * FROM w WHERE from_id IS NOT NULL AND kind IN ('propagation', 'sink')),
-tr(source_id, at, kind, steps) AS (
+tr(source_id, pos, kind, steps) AS (
   SELECT s.id, f.id, f.kind, 0 FROM facts s JOIN fl f ON f.from_id = s.id WHERE s.kind = 'source'
-  UNION ALL SELECT t.source_id, f.id, f.kind, t.steps + 1 FROM tr t JOIN fl f ON f.from_id = t.at WHERE t.kind = 'propagation' AND t.steps < 4),
-traces AS (SELECT source_id, at AS sink_id, min(steps) AS steps FROM tr WHERE kind = 'sink' GROUP BY ALL)
+  UNION ALL SELECT t.source_id, f.id, f.kind, t.steps + 1 FROM tr t JOIN fl f ON f.from_id = t.pos WHERE t.kind = 'propagation' AND t.steps < 4),
+traces AS (SELECT source_id, pos AS sink_id, min(steps) AS steps FROM tr WHERE kind = 'sink' GROUP BY ALL)
 """
 _OPEN = """a AS (SELECT * FROM facts f WHERE kind = 'resource_acquire' AND NOT EXISTS (SELECT 1 FROM facts r WHERE r.kind = 'resource_release' AND r.file = f.file AND r.function = f.function AND r.operation = f.operation AND r.input = f.output AND r.line > f.line))"""
 
