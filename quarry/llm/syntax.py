@@ -206,7 +206,7 @@ def _go(text: str) -> str | None:
                     return "premature end of a declaration"
                 if not stack and head == "type" and out[i - 2][1] == "type":
                     return "premature end of a declaration"
-                start = True
+                start = not (head in _GO_CLAUSE and pt != "}" and holds == "block")  # a header goes on
             elif t in _GO_BINARY or t in (",",):
                 if not operand and not (t == "," and pt in (";",)) and not (t == "|" or t == "~" or t == "="):
                     return "operator without operand"
@@ -353,7 +353,7 @@ def _rust(text: str) -> str | None:
         elif not loose:
             if k == "o" and t == ";" and not stack:
                 start = True
-            if t == ";" and pk == "o" and pt in _RUST_BINARY | {".", "::", "&&", "||", "-", "+", "&", "*", ","}:
+            if t == ";" and pk == "o" and pt in _RUST_BINARY | {".", "::", "&&", "||", "-", "+", "&", "*", ","} and not (pt == "*" and pprev[1] == "::"):
                 return "operator without operand"
             if t in _RUST_BINARY and pk == "o" and pt in _RUST_BINARY | {".", "::", ",", ";", "&&", "||", "-", "+"}:
                 return "operator without operand"
@@ -700,7 +700,7 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
                 operand = True
                 start = False
             elif operand:
-                if pt in ("async", "get", "set", "static", "let", "await", "yield", "of") or t == "as" and False:
+                if pt in ("async", "get", "set", "static", "let", "await", "yield", "of", "break", "continue"):
                     operand = True
                 elif holds == "class" or (t in ("else", "while", "catch", "finally") and pt == "}"):
                     operand = t not in _JS_WORDS
@@ -708,6 +708,8 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
                     return "two operands without an operator"
             elif t in ("import", "export") and not stack and nxt not in ("(", "."):
                 return "module syntax"
+            elif t in ("await", "yield") and i + 1 < len(toks) and not toks[i + 1][2] and (toks[i + 1][0] in "wnsr" or nxt in ("(", "[", "{", "!", "-", "+", "~", "*")):
+                operand, start = False, False
             elif t in ("const", "var"):
                 if not start and holds != "head" and pt not in ("{", ";", "}", ")", ":"):
                     return "unexpected text"
