@@ -48,10 +48,11 @@ def read_json(text: str | None) -> object:
 
 
 class _Node:
-    __slots__ = ("arrays", "kids", "objects", "scalars")
+    __slots__ = ("arrays", "kids", "objects", "scalars", "to")
 
     def __init__(self) -> None:
         self.kids: dict[str, _Node] = {}
+        self.to: _Node | None = None  # where a node went that was folded away
         self.arrays = self.objects = self.scalars = 0
 
 
@@ -59,6 +60,8 @@ def _observe(value: object, node: _Node) -> None:
     todo = [(value, node)]
     while todo:
         value, node = todo.pop()
+        while node.to is not None:
+            node = node.to
         if type(value) is dict:
             node.objects += 1
             kids = node.kids
@@ -86,6 +89,7 @@ def _kid(kids: dict[str, _Node], name: str) -> _Node:
         whole = _Node()
         for k in kids.values():
             _merge(whole, k)
+            k.to = whole
         kids.clear()
         kids[ANY] = whole
         return whole

@@ -16,12 +16,33 @@ MAX_BYTES = 500 * 1024
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_path, size, content of every file below a folder, in any file system Spark reads."""
+    """path, rel_path, size, content of the files below a folder, in any file system Spark reads; it leaves out hidden and empty ones."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.lit("^" + re.escape(root.rstrip("/")) + "/"), F.lit(""))
     return raw.select("path", rel.alias("rel_path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
+    """(folder, line number, pattern) of all .gitignore files below a folder.
+
+    Spark's readers pass over hidden files, so the file system lists them; only
+    the ignore files themselves, small and few, are read on the driver.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.getFileStatus(path).getPath().toString().rstrip("/")
+    out, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName() == ".gitignore":
+            folder = f.getParent().toString()[len(base) :].strip("/")
+            stream = fs.open(f)
+            text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            stream.close()
+            out += [(folder, i, line) for i, line in enumerate(text.splitlines())]
+    return out
+
+
 class IgnoreRules:
     """Git's ignore patterns: anchored or not, folders, negation, `*`, `?`, `[...]` and `**`; the last match wins.
 

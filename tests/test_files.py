@@ -10,7 +10,7 @@ from quarry.functions import text as T
 from quarry.operators import reports
 from quarry.operators.legacy import ignored_error, sql_by_concatenation
 from quarry.sources.config import Config, load_config
-from quarry.sources.discovery import IgnoreRules, discover, discovery_stats, read_tree
+from quarry.sources.discovery import IgnoreRules, discover, discovery_stats, ignore_rules, read_tree
 
 
 def one(spark, col, **values):
@@ -28,16 +28,17 @@ def test_ignore_patterns(path, ignored):
 
 
 def test_discovery_on_a_tree(spark, tmp_path):
-    for name, body in {"main.go": "package a\n", "a_test.go": "package a\n", "vendor/x.go": "package x\n", "run": "#!/usr/bin/env python3\n", "big.go": "x" * 600_000, "notes.unknown": "", ".gitignore": "*.log\n"}.items():
+    for name, body in {"main.go": "package a\n", "a_test.go": "package a\n", "vendor/x.go": "package x\n", "run": "#!/usr/bin/env python3\n", "big.go": "x" * 600_000, "notes.unknown": "x", "sub/.gitignore": "*.log\n!a.log\n"}.items():
         f = tmp_path / name
         f.parent.mkdir(exist_ok=True)
         f.write_text(body)
     found = discover(read_tree(spark, str(tmp_path)))
     got = {r.rel_path: (r.found_language, r.skip_reason) for r in found.collect()}
     assert got["main.go"] == ("Go", None) and got["run"] == ("Python", None)
-    assert {k: v[1] for k, v in got.items() if v[1]} == {"a_test.go": "test", "vendor/x.go": "pruned", "big.go": "size", "notes.unknown": "unclassified", ".gitignore": "ignore_file"}
+    assert {k: v[1] for k, v in got.items() if v[1]} == {"a_test.go": "test", "vendor/x.go": "pruned", "big.go": "size", "notes.unknown": "unclassified"}
+    assert ignore_rules(spark, str(tmp_path)) == [("sub", 0, "*.log"), ("sub", 1, "!a.log")]
     s = discovery_stats(found, []).collect()[0]
-    assert (s.total, s.skipped, s.by_size, s.by_test) == (2, 4, 1, 1)
+    assert (s.total, s.skipped, s.by_size, s.by_test) == (2, 3, 1, 1)
 
 
 def test_modes_and_literals(spark):
