@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.endings import ending
+from quarry.session import materialize
 from quarry.tables import table
 
 #: Lengths of the prefixes by which units and whole texts meet.
@@ -16,6 +17,8 @@ UNIT_STEPS = (4, 8, 16, 32)
 TEXT_STEPS = tuple(32 << i for i in range(16))
 #: Texts that must end with the same shape for it to count as a whole line, and how much commoner a longer one must be to outweigh it.
 RECURS, OUTWEIGHS = 2, 5
+#: Most rows of short fields, some 100 bytes each, that are sent to every worker.
+SENT_ROWS = 200_000
 
 
 def _classify(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,18 +54,23 @@ def _rungs(length: Column, steps: tuple[int, ...]) -> Column:
     return out
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The rows with a broadcast hint if they are counted to be at most `SENT_ROWS`; beyond that they are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def longer_units(units: DataFrame, df: DataFrame, text: str) -> DataFrame:
     """The distinct `unit`s that are strict prefixes of a sentence or line elsewhere.
 
     Both sides meet by the hash of a fixed-length prefix, the longest step that
-    fits the unit; equal starts of sentences are one row before they meet. A
-    number that goes on as a longer number is no longer copy.
+    fits the unit; beyond `SENT_ROWS` units only hashes that units have are
+    shuffled with their sentences. A number that goes on as a longer number is
+    no longer copy.
     """
     short = units.select("unit").distinct().withColumn("n", F.length("unit")).withColumn("p", _rungs(F.col("n"), UNIT_STEPS)).filter("p is not null")
-    short = short.withColumn("h", F.xxhash64(F.substring("unit", 1, F.col("p")), "p"))
-    starts = df.select(F.explode(F.split(F.col(text), r"(?<=[.!?])\s+|\n\s*(?:[-*+]\s+|\d+[.)]\s+)?")).alias("s")).select(F.substring("s", 1, 80).alias("s")).filter(F.length("s") > UNIT_STEPS[0]).distinct()
-    rungs = starts.select("s", F.explode(F.array(*[F.lit(s) for s in UNIT_STEPS])).alias("p")).filter(F.length("s") > F.col("p"))
-    rungs = rungs.select("s", F.xxhash64(F.substring("s", 1, F.col("p")), "p").alias("h"))
+    short = _small(short.select("unit", "n", F.xxhash64(F.substring("unit", 1, F.col("p")), "p").alias("h")))
+    starts = df.select(F.explode(F.split(F.col(text), r"(?<=[.!?])\s+|\n\s*(?:[-*+]\s+|\d+[.)]\s+)?")).alias("s")).select(F.substring("s", 1, 80).alias("s")).filter(F.length("s") > UNIT_STEPS[0])
+    rungs = starts.select("s", F.explode(F.array(*[F.when(F.length("s") > p, F.xxhash64(F.substring("s", 1, p), F.lit(p))) for p in UNIT_STEPS])).alias("h")).filter("h is not null")
     met = rungs.join(short, "h").filter(F.col("s").startswith(F.col("unit")) & (F.length("s") > F.col("n")))
     met = met.filter(~(F.expr("substring(s, n, 2)").rlike("^[0-9]{2}$")))
     return met.select("unit").distinct()
@@ -71,15 +79,20 @@ def longer_units(units: DataFrame, df: DataFrame, text: str) -> DataFrame:
 def longer_texts(cand: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of `cand` whose whole text, without blanks at its end, is a strict prefix of another text that goes on in the same line.
 
-    Pairs form only where two texts share their first half or more.
+    cand: key, chars. Hashes of prefixes meet first, without the texts: a text
+    has one for each power of two of its length. Only pairs that share their
+    first half or more then meet with their texts.
     """
-    trimmed = df.select(key, F.rtrim(text).alias("t"))
-    short = cand.select(key).join(trimmed, key).withColumn("p", _rungs(F.length("t"), TEXT_STEPS)).filter("p is not null")
-    short = short.select(F.col(key).alias("_k"), F.col("t").alias("_t"), F.xxhash64(F.substring("t", 1, F.col("p")), "p").alias("h"))
-    rungs = df.select(F.col(text).alias("t")).withColumn("p", F.explode(F.filter(F.array(*[F.lit(s) for s in TEXT_STEPS]), lambda s: s < F.length("t"))))
-    prints = rungs.select(F.xxhash64(F.substring("t", 1, F.col("p")), "p").alias("h"), "t")
-    near = prints.join(short, "h").filter(F.col("t").startswith(F.col("_t")) & F.expr("substring(t, length(_t) + 1, 1) rlike '[^\\\\s0-9]'"))
-    return near.select(F.col("_k").alias(key)).distinct()
+    ids = cand.select(F.col(key).alias("_a"), "chars").distinct()
+    rows = df.select(F.col(key).alias("_b"), F.col(text).alias("t"))
+    few = _small(ids)
+    own = rows.join(few, F.col("_b") == F.col("_a"), "left_semi").withColumn("n", F.length(F.rtrim("t"))).withColumn("p", _rungs(F.col("n"), TEXT_STEPS)).filter("p is not null")
+    short = own.select(F.col("_b").alias("_a"), "n", F.xxhash64(F.substring("t", 1, F.col("p")), "p").alias("h"))
+    rungs = rows.select("_b", F.length("t").alias("m"), F.explode(F.array(*[F.when(F.length("t") > p, F.xxhash64(F.substring("t", 1, p), F.lit(p))) for p in TEXT_STEPS])).alias("h")).filter("h is not null")
+    pairs = rungs.join(_small(short), "h").filter("m > n").select("_a", "_b").distinct()
+    left = rows.select(F.col("_b").alias("_a"), F.rtrim("t").alias("x")).join(pairs, "_a")
+    near = left.join(rows, "_b").filter(F.col("t").startswith(F.col("x")) & F.expr("substring(t, length(x) + 1, 1) rlike '[^\\\\s0-9]'"))
+    return near.select(F.col("_a").alias(key)).distinct()
 
 
 def cut_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,7 +104,7 @@ def cut_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     on in the same line, or if the shape of its last line never recurs. A text that is a prefix of a longer one but ends
     complete is not cut. Null, empty and blank texts give no row.
     """
-    ends = _classify(df, key, text)
+    ends = materialize(_classify(df, key, text), "ends")  # every text is judged once
     opens = ends.filter("verdict = 'open'")
     lists = ends.filter("verdict = 'list'")
     shapes = opens.groupBy("shape").agg(F.count_distinct("chars", "unit").alias("texts"))
@@ -102,7 +115,7 @@ def cut_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     by_shape = opens.join(whole, "shape", "left_anti").select(key)
     unsure = ends.filter("verdict <> 'cut'")
     by_unit = unsure.join(longer_units(unsure, df, text), "unit", "left_semi").select(key)
-    by_text = longer_texts(unsure.select(key), df, key, text)
+    by_text = longer_texts(unsure.select(key, "chars"), df, key, text)
     return ends.filter("verdict = 'cut'").select(key).unionByName(by_shape).unionByName(by_unit).unionByName(by_text).distinct()
 
 
