@@ -89,9 +89,12 @@ def longer_texts(cand: DataFrame, df: DataFrame, key: str, text: str) -> DataFra
     own = rows.join(few, F.col("_b") == F.col("_a"), "left_semi").withColumn("n", F.length(F.rtrim("t"))).withColumn("p", _rungs(F.col("n"), TEXT_STEPS)).filter("p is not null")
     short = own.select(F.col("_b").alias("_a"), "n", F.xxhash64(F.substring("t", 1, F.col("p")), "p").alias("h"))
     rungs = rows.select("_b", F.length("t").alias("m"), F.explode(F.array(*[F.when(F.length("t") > p, F.xxhash64(F.substring("t", 1, p), F.lit(p))) for p in TEXT_STEPS])).alias("h")).filter("h is not null")
-    pairs = rungs.join(_small(short), "h").filter("m > n").select("_a", "_b").distinct()
-    left = rows.select(F.col("_b").alias("_a"), F.rtrim("t").alias("x")).join(pairs, "_a")
-    near = left.join(rows, "_b").filter(F.col("t").startswith(F.col("x")) & F.expr("substring(t, length(x) + 1, 1) rlike '[^\\\\s0-9]'"))
+    short = materialize(short, "prefixes")
+    pairs = _small(materialize(rungs.join(_small(short), "h").filter("m > n").select("_a", "_b").distinct(), "pairs"))
+    met = _small(pairs.select("_a").unionByName(pairs.select(F.col("_b").alias("_a"))).distinct())
+    some = rows.join(met, F.col("_b") == F.col("_a"), "left_semi")  # the texts of pairs only
+    left = some.select(F.col("_b").alias("_a"), F.rtrim("t").alias("x")).join(pairs, "_a")
+    near = left.join(some, "_b").filter(F.col("t").startswith(F.col("x")) & F.expr("substring(t, length(x) + 1, 1) rlike '[^\\\\s0-9]'"))
     return near.select(F.col("_a").alias(key)).distinct()
 
 
