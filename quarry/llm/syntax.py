@@ -17,6 +17,13 @@ import ast
 import re
 import warnings
 
+from quarry.extract.lexers import CS as _CS
+from quarry.extract.lexers import GO as _GO
+from quarry.extract.lexers import JS as _JS
+from quarry.extract.lexers import RUST as _RUST
+from quarry.extract.lexers import WORD as _WORD
+from quarry.extract.lexers import lexer as _lexer
+
 # Suffix to language.
 SUFFIXES = {"go": "Go", "py": "Python", "rs": "Rust", "cs": "C#", "js": "JavaScript", "cjs": "JavaScript"}
 
@@ -36,61 +43,6 @@ def problem(language: str | None, text: str | None) -> str | None:
     if text[:1] == "﻿":
         text = text[1:]
     return _CHECKS[language](text)
-
-
-def _number() -> str:
-    return r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.(?![.\w])[\d_]*|\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?|\.\d[\d_]*(?:[eE][+-]?\d[\d_]*)?)"
-
-
-def _lexer(blank: str, *parts: tuple[str, str]) -> re.Pattern[str]:
-    """Blanks before a token belong to its match, so that they cost no match of their own."""
-    return re.compile(f"(?:{blank})*+(?:" + "|".join(f"(?P<{k}>{p})" for k, p in parts) + r"|(?P<end>\Z))", re.S)
-
-
-_WORD = r"[^\W\d]\w*"
-
-_GO = _lexer(
-    r"[ \t\r]+|//[^\n]*|/\*(?:[^*\n]|\*(?!/))*\*/",
-    ("w", _WORD),
-    ("nl", r"\n\s*|/\*.*?\*/"),
-    ("s", r'`[^`]*`|"(?:[^"\\\n]|\\[^\n])*"' + r"|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'"),
-    ("n", _number() + r"i?(?!\w)"),
-    ("b", r"[()\[\]{}]"),
-    ("o", r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!.,;:~]"),
-    ("bad", r"."),
-)
-_RUST = _lexer(
-    r"\s+|//[^\n]*",
-    ("cm", r"/\*"),
-    ("s", r'b?c?r(?P<h>#*)".*?"(?P=h)|[bc]?"(?:[^"\\]|\\.)*"' + r"|b?'(?:[^'\\\n\t\r]|\\(?:[nrt0\\'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))'"),
-    ("life", r"'[^\W\d]\w*(?!')"),
-    ("w", r"(?:r#)?" + _WORD),
-    ("n", r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d[\d_]*)?)(?:[iu](?:8|16|32|64|128|size)|f(?:32|64))?(?!\w)"),
-    ("b", r"[()\[\]{}]"),
-    ("o", r"<<=|>>=|\.\.=|\.\.\.|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|->|=>|::|\.\.|[-+*/%&|^<>=!.,;:?@#$]"),
-    ("bad", r"."),
-)
-_CS = _lexer(
-    r"\s+|//[^\n]*|/\*.*?\*/",
-    ("s", r'\$*(?P<q>"{3,}).*?(?P=q)(?!")|(?:@\$|\$@|@)"(?:[^"]|"")*"|\$?"(?:[^"\\\n]|\\[^\n])*"(?:u8)?' + r"|'(?:[^'\\\n]|\\(?:['\"\\0abefnrtv]|x[0-9a-fA-F]{1,4}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'"),
-    ("w", r"@?" + _WORD),
-    ("n", r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)(?:[uU][lL]?|[lL][uU]?|[fFdDmM])?(?!\w)"),
-    ("pp", r"\#[^\n]*"),
-    ("b", r"[()\[\]{}]"),
-    ("o", r"<<=|>>=|\?\?=|&&|\|\||\+\+|--|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|->|=>|::|\?\?|\.\.|[-+*/%&|^<>=!.,;:?~]"),
-    ("bad", r"."),
-)
-_JS = _lexer(
-    r"[ \t\r\v\f\u00a0\ufeff]+|//[^\n]*|/\*(?:[^*\n]|\*(?!/))*\*/",
-    ("nl", r"\n\s*|/\*.*?\*/"),
-    ("w", r"\#?(?:[$]|[^\W\d])[$\w]*"),
-    ("s", r'"(?:[^"\\\n]|\\(?:\r\n|.))*"' + r"|'(?:[^'\\\n]|\\(?:\r\n|.))*'"),
-    ("t", r"`"),
-    ("n", _number() + r"n?(?![\w$])"),
-    ("b", r"[()\[\]{}]"),
-    ("o", r">>>=|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|===|!==|\.\.\.|=>|\*\*|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|[-+*/%&|^<>=!.,;:?~]"),
-    ("bad", r"."),
-)
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
 _JS_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _RUST_DOC_END = re.compile(r"(?:^|\n)[ \t]*///(?!/)[^\n]*\s*\Z")
