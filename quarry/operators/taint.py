@@ -29,29 +29,62 @@ def _last_write(facts: DataFrame) -> DataFrame:
     return both.filter("side = 1 and w is not null").select("id", F.col("w").alias("from_id"))
 
 
-def traces(facts: DataFrame, max_steps: int = MAX_STEPS, cut_every: int = 4) -> DataFrame:
-    """(source_id, sink_id, steps): for each source and sink the fewest propagations between them.
+def local_edges(facts: DataFrame) -> DataFrame:
+    """(at, next, kind, deeper): each propagation and sink with the newest earlier write of the symbol it reads."""
+    kinds = facts.select("id", "kind")
+    edges = _last_write(facts).join(kinds, "id").filter(F.col("kind").isin("propagation", "sink"))
+    return edges.select(F.col("from_id").alias("at"), F.col("id").alias("next"), "kind", F.lit(0).alias("deeper"))
+
+
+def call_edges(facts: DataFrame, calls: DataFrame, entries: DataFrame, returns: DataFrame) -> DataFrame:
+    """Edges over calls, one level deeper each: from an argument's write to the callee's parameter, and, where the parameter reaches a return, on to the call's own output.
+
+    calls: id, file, function, line, callee, inputs (one symbol a position, null
+    for a literal), external. entries: id, function, position; each is also a
+    fact of its function that writes the parameter before all its lines. returns:
+    function, position, as `return_dependencies` gives them. Positions from the
+    first one without a symbol on do not propagate into the callee; external
+    calls do not at all.
+    """
+    own = calls.filter(~F.coalesce("external", F.lit(False)) & F.col("callee").isNotNull())
+    args = own.select("id", *PLACE, "line", "callee", F.posexplode("inputs").alias("position", "input"), F.array_position(F.transform("inputs", lambda x: x.isNull()), True).alias("gap"))
+    args = args.filter(F.col("input").isNotNull())
+    # Every argument reads as a fact of its own; the key of the reading is the call and the position.
+    keyed = args.withColumn("rid", F.xxhash64("id", "position"))
+    reads = keyed.select(F.col("rid").alias("id"), F.lit("call").alias("kind"), *PLACE, "line", "input", F.lit(None).cast("string").alias("output"))
+    writes = facts.filter("output is not null").select("id", "kind", *PLACE, "line", F.lit(None).cast("string").alias("input"), "output")
+    seen = _last_write(writes.unionByName(reads)).select(F.col("id").alias("rid"), F.col("from_id").alias("at"))
+    hit = keyed.join(seen, "rid")
+    into = hit.filter((F.col("gap") == 0) | (F.col("position") < F.col("gap") - 1)).join(entries.select(F.col("id").alias("next"), F.col("function").alias("callee"), "position"), ["callee", "position"])
+    back = hit.join(returns.select(F.col("function").alias("callee"), "position"), ["callee", "position"], "left_semi")
+    return into.select("at", "next", F.lit("propagation").alias("kind"), F.lit(1).alias("deeper")).unionByName(back.select("at", F.col("id").alias("next"), F.lit("propagation").alias("kind"), F.lit(1).alias("deeper"))).distinct()
+
+
+def traces(facts: DataFrame, max_steps: int = MAX_STEPS, cut_every: int = 4, across: DataFrame | None = None, max_depth: int = MAX_CALL_DEPTH) -> DataFrame:
+    """(source_id, sink_id, steps, interprocedural): for each source and sink the fewest propagations between them.
 
     facts: id, kind, file, function, line, input, output; one function's facts
     have distinct lines. Data flows from a write to the reads that see it as the
-    newest one, so killed taint ends by itself; a read of two writes cannot be.
-    At most `max_steps` propagations are followed.
+    newest one, so killed taint ends by itself. across: edges over calls; each
+    trace passes at most `max_depth` of them. At most `max_steps` propagations
+    are followed. Of equally short traces the one within a function counts.
     """
-    flow = _last_write(facts)
-    kinds = facts.select("id", "kind")
-    edges = flow.join(kinds, "id").filter(F.col("kind").isin("propagation", "sink")).select(F.col("from_id").alias("at"), F.col("id").alias("next"), "kind")
-    front = facts.filter("kind = 'source' and output is not null").select(F.col("id").alias("source_id"), F.col("id").alias("at"))
+    edges = local_edges(facts)
+    if across is not None:
+        edges = edges.unionByName(across)
+    front = facts.filter("kind = 'source' and output is not null").select(F.col("id").alias("source_id"), F.col("id").alias("at"), F.lit(0).alias("depth"))
     out: DataFrame | None = None
     for step in range(max_steps + 1):
-        hit = front.join(edges, "at").select("source_id", F.col("next").alias("at"), "kind").distinct()
+        hit = front.join(edges, "at").withColumn("depth", F.col("depth") + F.col("deeper")).filter(F.col("depth") <= max_depth).groupBy("source_id", F.col("next").alias("at"), "kind").agg(F.min("depth").alias("depth"))
         if step and step % cut_every == 0:
             hit = materialize(hit, "taint")
             if hit.isEmpty():
                 break
-        done = hit.filter("kind = 'sink'").select("source_id", F.col("at").alias("sink_id"), F.lit(step).alias("steps"))
+        done = hit.filter("kind = 'sink'").select("source_id", F.col("at").alias("sink_id"), F.lit(step).alias("steps"), (F.col("depth") > 0).alias("interprocedural"))
         out = done if out is None else out.unionByName(done)
-        front = hit.filter("kind = 'propagation'").select("source_id", "at")
-    return out.groupBy("source_id", "sink_id").agg(F.min("steps").alias("steps"))
+        front = hit.filter("kind = 'propagation'").select("source_id", "at", "depth")
+    best = F.min(F.struct("steps", "interprocedural")).alias("b")
+    return out.groupBy("source_id", "sink_id").agg(best).select("source_id", "sink_id", F.col("b.steps").alias("steps"), F.col("b.interprocedural").alias("interprocedural"))
 
 
 def graded(found: DataFrame) -> DataFrame:

@@ -100,3 +100,38 @@ def test_value_used_before_its_error_is_checked(spark):
     lines = ["v, err := load()", "v.Close()", "if err != nil {", "w, err := load()", "if err != nil {", "w.Close()"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "file_id int, n int, line string")
     assert [(r.n, r.symbol) for r in nil_dereference(df).collect()] == [(0, "v")]
+
+
+CALLS = "id bigint, file string, function string, line int, callee string, inputs array<string>, external boolean"
+
+
+def across(spark, rows, calls, params, returns=()):
+    """Traces of facts (id, kind, function, line, input, output) with calls; params: (id, function, position, symbol)."""
+    facts = [(i, k, "", "f", fn, n, a, b) for i, k, fn, n, a, b in rows] + [(i, "entry", "", "f", fn, 0, None, s) for i, fn, _, s in params]
+    facts += [(c[0], "call", "", "f", c[1], c[2], None, c[5]) for c in calls]
+    df = spark.createDataFrame(facts, SCHEMA)
+    cs = spark.createDataFrame([(c[0], "f", c[1], c[2], c[3], c[4], c[6] if len(c) > 6 else False) for c in calls], CALLS)
+    en = spark.createDataFrame([(i, fn, p) for i, fn, p, _ in params], "id bigint, function string, position int")
+    rt = spark.createDataFrame(list(returns), "function string, position int")
+    return lambda **kw: {(r.source_id, r.sink_id, r.interprocedural) for r in taint.traces(df, across=taint.call_edges(df, cs, en, rt), **kw).collect()}
+
+
+def test_taint_passes_into_callees_and_back(spark):
+    src, sink = (1, "source", "m", 1, None, "id"), (2, "sink", "g", 5, "p", None)
+    run = across(spark, [src, sink], [(10, "m", 2, "g", ["id"], None)], [(20, "g", 0, "p")])
+    assert run() == {(1, 2, True)} and run(max_depth=0) == set()
+    lit_first = across(spark, [src, sink], [(10, "m", 2, "g", [None, "id"], None)], [(20, "g", 1, "p")])
+    assert lit_first() == set()
+    far = across(spark, [src, sink], [(10, "m", 2, "g", ["id"], None, True)], [(20, "g", 0, "p")])
+    assert far() == set()
+    back = across(spark, [src, (2, "sink", "m", 3, "r", None)], [(10, "m", 2, "same", ["id"], "r")], [(20, "same", 0, "p")], [("same", 0)])
+    assert back() == {(1, 2, True)}
+    two = across(spark, [src, (2, "sink", "m", 4, "r2", None)], [(10, "m", 2, "same", ["id"], "r"), (11, "m", 3, "same", ["r"], "r2")], [(20, "same", 0, "p")], [("same", 0)])
+    assert two(max_depth=1) == set() and two(max_depth=2) == {(1, 2, True)}
+    wrong = across(spark, [src, sink], [(10, "m", 2, "g", ["other"], None)], [(20, "g", 0, "p")])
+    assert wrong() == set()
+
+
+def test_grades(spark):
+    df = spark.createDataFrame([(1, 2, 0, False), (1, 3, 2, False), (1, 4, 1, True)], "source_id int, sink_id int, steps int, interprocedural boolean")
+    assert [(r.confidence, r.strength) for r in taint.graded(df).orderBy("sink_id").collect()] == [(0.95, "strong"), (0.9, "strong"), (0.8, "moderate")]
