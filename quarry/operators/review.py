@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,58 +14,65 @@ BATCH_INPUT, BATCH_OUTPUT = 8_000, 2_048
 BATCH_OVERHEAD, OUT_BASE, OUT_EACH = 32, 64, 384
 
 
+class _Budget:
+    """What a scan has selected so far."""
+
+    def __init__(self, budget: dict[str, int]) -> None:
+        self.budget, self.cap = budget, max(2, budget["findings"] // 4)
+        self.batch = self.count = self.used_in = self.used_out = self.chosen = 0
+        self.size = BATCH_OVERHEAD
+        self.rules: dict[str, int] = {}
+
+    def take(self, rule: str, tokens: int) -> int | None:
+        """The number of the candidate's batch, or None if a budget or its rule's share is used up."""
+        fresh = self.count == 0 or self.size + tokens > BATCH_INPUT or OUT_BASE + OUT_EACH * (self.count + 1) > BATCH_OUTPUT
+        cost_in = tokens + (BATCH_OVERHEAD if fresh else 0)
+        cost_out = OUT_EACH + (OUT_BASE if fresh else 0)
+        if (
+            self.chosen >= self.budget["findings"]
+            or self.rules.get(rule, 0) >= self.cap
+            or (fresh and self.batch + (self.count > 0) >= self.budget["requests"])
+            or self.used_in + cost_in > self.budget["input"]
+            or self.used_out + cost_out > self.budget["output"]
+        ):
+            return None
+        if fresh:
+            self.batch += self.count > 0
+            self.size, self.count = BATCH_OVERHEAD + tokens, 1
+        else:
+            self.size, self.count = self.size + tokens, self.count + 1
+        self.used_in, self.used_out, self.chosen = self.used_in + cost_in, self.used_out + cost_out, self.chosen + 1
+        self.rules[rule] = self.rules.get(rule, 0) + 1
+        return self.batch + 1
+
+
 def plan(ordered: DataFrame, key: str, budget: dict[str, int] = BUDGET) -> DataFrame:
     """(key, id, batch, skip): greedy selection of candidates in order under four budgets.
 
     ordered: key, id, place, rule_id, tokens, enough. A candidate without enough
     context is skipped with CONTEXT_INSUFFICIENT, one over a budget or over its
     rule's share with BUDGET_EXHAUSTED; the others get the number of their
-    batch. Only the candidates that can still be selected, the first
-    `HEAD` of a scan in order, meet in one task; all later ones are out of
-    budget by then and are marked without it.
+    batch. The candidates of a scan stream by in order, with one scan's state at
+    a time, so neither a large scan nor many small ones are held.
     """
-    head = 4 * budget["findings"] + 200
-    near = ordered.filter(F.col("place") <= head)
-    far = ordered.filter(F.col("place") > head).select(key, "id", F.lit(None).cast("int").alias("batch"), F.when(~F.col("enough"), "CONTEXT_INSUFFICIENT").otherwise("BUDGET_EXHAUSTED").alias("skip"))
     kind = ordered.schema[key].dataType.simpleString()
-    cap = max(2, budget["findings"] // 4)
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        batch, size, count = 0, BATCH_OVERHEAD, 0
-        used_in = used_out = chosen = 0
-        rules: dict[str, int] = {}
-        out = []
-        for row in group.itertuples(index=False):
-            if not row.enough:
-                out.append((row.id, None, "CONTEXT_INSUFFICIENT"))
-                continue
-            fresh = count == 0 or size + row.tokens > BATCH_INPUT or OUT_BASE + OUT_EACH * (count + 1) > BATCH_OUTPUT
-            cost_in = row.tokens + (BATCH_OVERHEAD if fresh else 0)
-            cost_out = OUT_EACH + (OUT_BASE if fresh else 0)
-            full = (
-                chosen >= budget["findings"]
-                or rules.get(row.rule_id, 0) >= cap
-                or (fresh and batch + (count > 0) >= budget["requests"])
-                or used_in + cost_in > budget["input"]
-                or used_out + cost_out > budget["output"]
-            )
-            if full:
-                out.append((row.id, None, "BUDGET_EXHAUSTED"))
-                continue
-            if fresh and count:
-                batch += 1
-            size, count = (BATCH_OVERHEAD + row.tokens, 1) if fresh else (size + row.tokens, count + 1)
-            used_in, used_out, chosen = used_in + cost_in, used_out + cost_out, chosen + 1
-            rules[row.rule_id] = rules.get(row.rule_id, 0) + 1
-            out.append((row.id, batch + 1, None))
-        made = pd.DataFrame(out, columns=["id", "batch", "skip"])
-        made["batch"] = made["batch"].astype("Int32")
-        made.insert(0, key, group[key].iloc[0])
-        return made
-
-    picked = near.groupBy(key).applyInPandas(choose, f"{key} {kind}, id string, batch int, skip string")
-    return picked.unionByName(far)
+    rows = ordered.select(key, "id", F.coalesce("rule_id", F.lit("")).alias("rule_id"), F.col("tokens").cast("bigint").alias("tokens"), F.coalesce("enough", F.lit(False)).alias("enough"), "place")
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, "place", "id")
+
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, state = object(), _Budget(budget)
+        for part in parts:
+            batch: list[int | None] = []
+            skip: list[str | None] = []
+            for k, rule, tokens, enough in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if k != scan:
+                    scan, state = k, _Budget(budget)
+                n = state.take(rule, tokens or 0) if enough else None
+                batch.append(n)
+                skip.append(None if n is not None else "BUDGET_EXHAUSTED" if enough else "CONTEXT_INSUFFICIENT")
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(batch, pa.int32()), pa.array(skip, pa.string())], names=[key, "id", "batch", "skip"])
+
+    return sorted_rows.mapInArrow(choose, f"`{key}` {kind}, id string, batch int, skip string")
 
 
 def batches(selected: DataFrame) -> DataFrame:
