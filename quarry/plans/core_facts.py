@@ -40,18 +40,18 @@ def r4_taint_by_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Traces into the sinks of one symbol, graded."""
     f = facts(spark, folder)
     sinks = f.filter("kind = 'sink' and input = 'v1'").select(F.col("id").alias("sink_id"))
-    return taint.graded(taint.traces(f, 4)).join(sinks, "sink_id", "left_semi").select("source_id", "sink_id", "confidence", "strength")
+    return taint.graded(taint.traces(f)).join(sinks, "sink_id", "left_semi").select("source_id", "sink_id", "confidence", "strength")
 
 
 def r14_untraced_sinks(spark: SparkSession, folder: str) -> DataFrame:
     """Sinks that no trace reaches, as findings of low confidence."""
     f = facts(spark, folder)
-    reached = taint.traces(f, 4).select(F.col("sink_id").alias("id")).distinct()
+    reached = taint.traces(f).select(F.col("sink_id").alias("id")).distinct()
     return f.filter("kind = 'sink'").join(reached, "id", "left_anti").select("id", F.lit("Info").alias("severity"), F.lit(0.5).alias("confidence"))
 
 
 def d1_traces(spark: SparkSession, folder: str) -> DataFrame:
-    return taint.traces(facts(spark, folder), 4).select("source_id", "sink_id", F.col("steps").cast("bigint").alias("steps"))
+    return taint.traces(facts(spark, folder)).select("source_id", "sink_id", F.col("steps").cast("bigint").alias("steps"))
 
 
 def d9_as_of(spark: SparkSession, folder: str) -> DataFrame:
