@@ -178,7 +178,7 @@ def w2_rule_cap(spark: SparkSession, folder: str) -> DataFrame:
 
 def w3_human_order(spark: SparkSession, folder: str) -> DataFrame:
     rows = norm(spark, folder).filter("rule_id is not null")
-    return ops.human_order(rows, ["repo_id"], 5).select("repo_id", "rule_id", "id", F.col("place").cast("bigint").alias("place"))
+    return ops.human_order(rows, ["repo_id"]).select("repo_id", "rule_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 def w7_sequence_ids(spark: SparkSession, folder: str) -> DataFrame:
