@@ -25,11 +25,11 @@ def _found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s2_skip_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    return discovery.discover(files(spark, folder), max_bytes=3000).select("file_id", F.col("found_language").alias("language"), "skip_reason")
+    return discovery.discover(files(spark, folder)).select("file_id", F.col("found_language").alias("language"), "skip_reason")
 
 
 def s9_discovery_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return discovery.discovery_stats(discovery.discover(files(spark, folder), max_bytes=3000), ["repo_id"])
+    return discovery.discovery_stats(discovery.discover(files(spark, folder)), ["repo_id"])
 
 
 #: An example of the patterns a repository might carry.
