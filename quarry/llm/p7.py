@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.winnow import Codes, grams, longest_carry, winnow, words
+from quarry.llm.winnow import Codes, _run, grams, longest_carry, winnow, words
 from quarry.tables import table
 
 #: Words of an item's own wording that make a case.
@@ -61,11 +61,16 @@ def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_k
 
 
 def _carried(doc: list[bytes], item: list[bytes], ends: list[int], hits: list[tuple[int, int]], least: int) -> bool:
-    done: set[int] = set()
+    """Whether any hit extends to `least` words. hits: by p, then q.
+
+    All hits inside one common run extend to the same stretch, so each run of a
+    diagonal is judged once, and a later run of the same diagonal by itself.
+    """
+    done: dict[int, int] = {}  # diagonal -> end of its run judged last
     for p, q in hits:
-        if p - q in done:
+        if p < done.get(p - q, 0):
             continue
-        done.add(p - q)
+        done[p - q] = p + _run(doc, item, p, q)
         if longest_carry(doc, item, ends, p, q) >= least:
             return True
     return False
