@@ -23,7 +23,7 @@ _NOT_NAME = re.compile(r"(?i)(?:max|min|num|count|n)_?tokens?$|tokeniz|tokens$|a
 _VALUE = r"[^\s\"'`<>]{6,}"
 #: Wrappers that only convert the literal they hold.
 _WRAP = r"(?:(?:\[\]byte|bytes\.fromhex|fromhex|hex!|mustHex|Some|String::from|bytes|b64decode|Buffer\.from|SecretStr|str)\s*\(\s*)?"
-_QUOTED = r"(?:[@bfru$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).){1,400}?)(?P=q)"
+_QUOTED = r"(?:[@bfru$]{0,2})(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)+?)(?P=q)"
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----.*?-----END \1-----", re.S)
 _RULES = [
@@ -59,7 +59,7 @@ _CODE = re.compile(r"^[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+$|^[\w.]+\(|^&?\w
 
 #: One expression of the RE2 dialect that is true of every text with a candidate: cheap, and wider than the rules.
 SIEVE = (
-    r"(?i)pass|pwd|[_-]pw\b|secret|token|api[_-]?key|credential|auth|contrase|mot_de_passe|access[_-]?key|signing|private|\bpw\b|seed|hmac|login|connect|bearer|basic |akia|asia[0-9a-z]{16}|eyj|encryption|master|shared[_-]?key|account[_-]?key|service[_-]?key|secret|://[^/\s:@]*:[^/\s@]+@|\b[a-z]{2,10}(?:[-_](?:live|test|prod|proj|pat|key|sec))?[-_.][a-z0-9]{20,}|mysql|psql|static\.new|creds?\.new"
+    r"(?i)pass|pwd|[_-]pw|secret|token|api[_-]?key|credential|auth|contrase|mot_de_passe|access[_-]?key|signing|private|\bpw\b|seed|hmac|login|connect|bearer|basic[ \t]|akia|asia[0-9a-z]{16}|eyj|encryption|master|shared[_-]?key|account[_-]?key|service[_-]?key|secret|://[^/\s:@]*:[^/\s@]+@|\b[a-z]{2,10}(?:[-_](?:live|test|prod|proj|pat|key|sec))?[-_.][a-z0-9]{20,}|mysql|psql|static\.new|creds?\.new|musthex|hex!|fromhex|unhex|hex\.decodestring|hex::decode"
 )
 
 

@@ -74,3 +74,20 @@ def test_operator_on_a_table(spark):
     clean = credentials(df, "id", "text", clean=True).collect()
     assert {r.redacted for r in clean} == {'password = "<REDACTED_SECRET_1>"', "PGPASS=<REDACTED_SECRET_1>"}
     assert credentials(df.limit(0), "id", "text").count() == 0
+
+
+LONG = "".join("fVnvFkaVrq1xqTjzQm7hTfkTpbMJ2Yx"[i * 7 % 31] + "q8Z3xK5"[i % 7] for i in range(400))
+HEX = "eb050b3875b6e63057d8208748fc1ef1" * 2
+
+
+@pytest.mark.parametrize("text", ['password = "%s"', "apiKey := []byte('%s')", '{"token": "%s", "user": "svc"}'])
+def test_quoted_credentials_of_any_length(text):
+    assert len(LONG) == 800 and [(text % LONG)[a:b] for a, b in find_secrets(text % LONG, WORDS)] == [LONG]
+
+
+def test_the_sieve_lets_every_rule_pass(spark):
+    shown = [p for m in test_credentials_and_nothing_else.pytestmark if m.name == "parametrize" for p in m.args[1]]
+    more = [(f'aesKey := mustHex("{HEX}")', HEX), (f'key = bytes.fromhex("{HEX}")', HEX), (f'signer := hex.DecodeString("{HEX}")', HEX), (f'let k_key = hex::decode("{HEX}")', HEX), (f'key = unhex("{HEX}")', HEX), ("Basic\tc3ZjLXBheWxvYWQ6biN4TE9n", "c3ZjLXBheWxvYWQ6biN4TE9n")]
+    rows = [(i, t, s) for i, (t, s) in enumerate([*shown, *more])]
+    df = spark.createDataFrame(rows, "id bigint, text string, secret string")
+    assert {(r.id, r.secret) for r in credentials(df, "id", "text").collect()} == {(i, s) for i, _, s in rows}
