@@ -121,13 +121,15 @@ def _go(text: str) -> str | None:
         if k == "b" and t in "([{":
             kind = holds
             if t == "{":
+                if pt == "if":
+                    return "operator without operand"
                 if pt in ("struct", "interface"):
                     kind = "fields"
                 elif before or pt in (")", "else", "select", "switch", "for", ";", "{", ":") or head in _GO_CLAUSE or head == "func" or (head == "else"):
                     kind = "block"
                 elif pt == "," or pt == "(" or pt == ":":
                     kind = "values"
-                elif any(x[1] == "func" for x in out[max(3, i - 40) : i]) and pt not in ("]",) and pk == "w" and _after_signature(out, i):
+                elif pk == "w" and _after_signature(out, i):
                     kind = "block"
                 else:
                     kind = "values"
@@ -151,7 +153,7 @@ def _go(text: str) -> str | None:
                     return "operator without operand"
                 if pk == "w" and pt in _GO_WORDS and pt not in _GO_ENDS and pt not in ("select", "for", "switch", "default", "else", "chan", "interface", "struct"):
                     return "premature end of a statement"
-                if holds in ("list", "values") and not (stack and stack[-1][0] == "{" and False) and not (pt in (";",)):
+                if holds in ("list", "values") and pt != ";":
                     if head not in ("for", "if", "switch") or holds == "list":
                         return "line ends inside a bracket"
                 if pt in _GO_TOP:
@@ -176,7 +178,7 @@ def _go(text: str) -> str | None:
             if operand and holds not in ("fields", "group") and head != "import":
                 return "two operands without an operator"
         elif t not in _GO_WORDS:
-            if pk in "ns" and not (holds == "values" and False):
+            if pk in "ns":
                 return "two operands without an operator"
             if pk == "w" and pt not in _GO_WORDS and pprev[0] == "w" and pprev[1] not in _GO_WORDS:
                 return "two operands without an operator"
@@ -188,6 +190,8 @@ def _go(text: str) -> str | None:
             return "two operands without an operator"
         elif t in ("import", "package") and stack:
             return "declaration inside a block"
+        elif t == "else" and pt != "}" or pt == "else" and t != "if":
+            return "unexpected text"
         if pt == "func" and t != "(" and (k != "w" or t in _GO_WORDS):
             return "declaration without a name"
         if not stack and t == ";" and head == "func" and not _has_parameters(out, i):
@@ -216,7 +220,7 @@ def _has_parameters(out: list[tuple[str, str]], i: int) -> bool:
 def _after_signature(out: list[tuple[str, str]], i: int) -> bool:
     """A `func` with its parameters comes shortly before: the words before i are its result."""
     depth = 0
-    for j in range(i - 1, max(2, i - 60), -1):
+    for j in range(i - 1, 2, -1):
         t = out[j][1]
         if t in ")]}":
             depth += 1
@@ -288,6 +292,8 @@ def _rust(text: str) -> str | None:
         was = (pk == "w" and (pt not in _RUST_WORDS or pt in _RUST_VALUES)) or pk in "ns" or pt in (")", "]")
         if k == "b" and t in "([{":
             macro = loose or (pt == "!" and pprev[0] == "w") or (pk == "w" and pprev[1] == "!" and toks[i - 3][1] == "macro_rules") or pt == "#" or (pt == "!" and pprev[1] == "#")
+            if not macro and t == "{" and pt == "->":
+                return "operator without operand"
             if not macro and t == "{" and pt in ("fn", "struct", "enum", "impl", "trait", "mod", "let", "use") and not (pt == "use"):
                 return "declaration without a name"
             stack.append((t, macro))
@@ -309,6 +315,8 @@ def _rust(text: str) -> str | None:
                 return "operator without operand"
             if t in _RUST_BINARY and pk == "o" and pt in _RUST_BINARY | {".", "::", ",", ";", "&&", "||", "-", "+"}:
                 return "operator without operand"
+            if pt == "let" and t in ("=", ";", ":"):
+                return "declaration without a name"
             if t in _RUST_BINARY and pt in ("(", "[") or t == "," and pt in ("(", "[", "{", ",", ";"):
                 return "operator without operand"
             if t in ("fn", "struct", "enum", "trait", "mod") and not (k == "w" and re.match(_WORD, nxt) and (nxt not in _RUST_WORDS or nxt == "crate") or t == "fn" and nxt == "("):
@@ -330,9 +338,11 @@ def _rust(text: str) -> str | None:
 
 def _visible(toks: list[tuple[str, str]], i: int) -> bool:
     """A `pub(...)` ends before i."""
-    for j in range(i - 1, max(-1, i - 8), -1):
+    for j in range(i - 1, -1, -1):
         if toks[j][1] == "(":
             return j > 0 and toks[j - 1][1] == "pub"
+        if toks[j][1] in (";", "{", "}"):
+            return False
     return False
 
 
@@ -416,7 +426,7 @@ def _cs(text: str) -> str | None:
                 if pt in ("namespace", "using", "class", "struct", "new", "case", "is", "as", "in", "public", "private", "static"):
                     return "premature end of a statement"
                 start = True
-            elif t in _CS_BINARY and pt in ("(", "[", ",", ";") and not (t == "=>" and False):
+            elif t in _CS_BINARY and (pt in ("(", "[", ",", ";") or t == "=" and pt in _CS_TYPES):
                 return "operator without operand"
             elif t in _CS_BINARY and (pt == "<" or pt == ">" and t in ("%", "/", "^", "*=", "%=")):
                 return "operator without operand"
@@ -454,7 +464,7 @@ def _cs(text: str) -> str | None:
         pprev, prev = prev, (k, t)
     if stack:
         return "premature end"
-    if real and not (prev[1] in (";", "}") or prev[1] == "]" and False):
+    if real and prev[1] not in (";", "}"):
         return "premature end"
     return None
 
@@ -561,8 +571,10 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
     start = True
     pt, pk = ";", "o"
     last = ("", "")  # what the bracket just closed held, and the word before it
+    parts: dict[int, int] = {}  # semicolons in the heads that are open, by depth
     for i, (k, t, nl) in enumerate(toks):
         holds = stack[-1][1] if stack else "block"
+        before = start  # the token is the first of a statement
         nxt = toks[i + 1][1] if i + 1 < len(toks) else ""
         if operand and nl and holds in ("block", "class") and (k in "wnsr" or t in ("{", "++", "--")) and not (t in ("in", "instanceof", "of", "extends")):
             operand, start = False, True  # the line break ends the statement
@@ -589,6 +601,7 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
             else:
                 kind = "list"
             stack.append((t, kind, pt if pk == "w" else ""))
+            parts[len(stack)] = 0
             operand, start = False, kind in ("block", "class")
         elif k == "b":
             if not stack or _PAIRS[stack[-1][0]] != t:
@@ -615,6 +628,10 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
                     return "operator without operand"
                 if stack and holds in ("list", "object"):
                     return "statement ends inside a bracket"
+                if holds == "head":
+                    parts[len(stack)] += 1
+                    if parts[len(stack)] > 2 or stack[-1][2] not in ("for", "await"):
+                        return "statement ends inside a bracket"
                 operand, start = False, True
             elif t in ("++", "--"):
                 if not operand and nxt in ("++", "--", "-", "+") :
@@ -674,6 +691,8 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
                 operand, start = t in ("break", "continue"), t in ("else", "do", "try", "finally")
                 if t in ("class", "function") and not nxt:
                     return "premature end"
+                if t == "function" and before and nxt == "(" or t in ("if", "while", "with", "switch") and nxt != "(" or t == "for" and nxt not in ("(", "await"):
+                    return "declaration without a name" if t == "function" else "operator without operand"
                 if t == "class" and nxt not in ("{", "extends"):
                     operand = False
             else:
@@ -687,7 +706,7 @@ def _js_grammar(toks: list[tuple[str, str, bool]]) -> str | None:
 
 
 def _class_before(toks: list, i: int) -> bool:
-    for j in range(i - 1, max(-1, i - 8), -1):
+    for j in range(i - 1, -1, -1):
         t = toks[j][1]
         if t == "class":
             return True
@@ -743,7 +762,7 @@ def _body_of_expression(toks: list, j: int) -> bool:
     if toks[j - 1][1] == "=>":
         return True
     depth = 0
-    for x in range(j - 1, max(-1, j - 400), -1):
+    for x in range(j - 1, -1, -1):
         t = toks[x][1]
         if t in (")", "]", "}"):
             depth += 1
@@ -762,7 +781,7 @@ def _body_of_expression(toks: list, j: int) -> bool:
 
 
 def _in_case(toks: list, i: int) -> bool:
-    for j in range(i - 1, max(-1, i - 12), -1):
+    for j in range(i - 1, -1, -1):
         if toks[j][1] == "case":
             return True
         if toks[j][1] in (";", "{", "}"):

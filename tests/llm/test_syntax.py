@@ -75,3 +75,21 @@ def test_operator_on_a_table(spark):
     df = spark.createDataFrame([(*r, "z") for r in rows], "id bigint, path string, content string, kind string")
     assert sorted((r.id or 0, r.language) for r in unparsable(df, "id", "path", "content").collect()) == [(0, "Python"), (2, "Go"), (2, "Go")]
     assert unparsable(df.limit(0), "id", "path", "content").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("Go", "package a\nfunc f() { if { x() } }\n"), ("Go", "package a\nfunc f() { x()\nelse { y() } }\n"), ("Rust", "fn f() -> { 3 }\n"), ("Rust", "fn f() { let = 3; }\n"),
+        ("C#", "class A { void F() { int = 3; } }"), ("JavaScript", "if { }"), ("JavaScript", "function (a) { }"), ("JavaScript", "for (;;;) { }"),
+    ],
+)
+def test_missing_parts(language, text):
+    assert problem(language, text)
+
+
+def test_long_signatures_and_bodies_are_read_whole():
+    args = ", ".join(f"a{i} int" for i in range(60))
+    assert problem("Go", f"package a\nfunc f({args}) error {{\n\treturn nil\n}}\n") is None
+    body = "; ".join(f"a{i}()" for i in range(300))
+    assert problem("JavaScript", f"x = function () {{ {body} }}\nfor (;;) {{ }}\n") is None
