@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.winnow import Codes, _run, grams, longest_carry, winnow, words
@@ -15,21 +15,32 @@ from quarry.tables import table
 
 #: Words of an item's own wording that make a case.
 LEAST = 16
-#: Most items whose fingerprints are sent to the workers (some 50 MB at a thousand words each); more are joined by a shuffle.
-SENT_ITEMS = 5_000
+#: Most bytes of item texts that are sent to every worker; their words and fingerprints take some twenty times as much there.
+SENT_BYTES = 4 << 20
+#: Items that a document meets in one row beyond that.
+ITEMS_A_ROW = 256
 #: Items that must share an opening sentence for it to be an instruction.
 SHARED = 3
 
 
 def own_wording(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, wording): the text without the opening sentences that at least `SHARED` items have alike."""
+    """(key, wording): the text without the opening sentences that at least `SHARED` items have alike, however many they are.
+
+    An opening is known by the chained hash of its sentences, so an item of n
+    sentences gives n - 1 short rows; its last sentence is always its own. Null
+    texts give no row, of a repeated key one text counts.
+    """
     sentences = F.filter(F.split(F.trim(text), r"(?<=[.?!])\s+"), lambda s: s != "")
     items = df.filter(F.col(text).isNotNull()).select(F.col(key), sentences.alias("_s")).dropDuplicates([key])
-    opening = lambda n: F.lower(F.array_join(F.slice("_s", 1, n), " "))
-    out = items.withColumn("_own", F.lit(0))
-    for n in (1, 2, 3):
-        many = items.filter(F.size("_s") > n).groupBy(opening(n).alias("_o")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SHARED).select("_o")
-        out = out.join(many.withColumn("_hit", F.lit(n)), (opening(n) == F.col("_o")) & (F.col("_own") == n - 1), "left").withColumn("_own", F.coalesce("_hit", "_own")).drop("_o", "_hit")
+    chain = F.aggregate(
+        F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))),
+        F.array().cast("array<bigint>"),
+        lambda a, s: F.concat(a, F.array(F.xxhash64(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")), F.lower(s)))),
+    )
+    openings = items.select(key, F.posexplode(chain).alias("_n", "_o"))
+    many = openings.groupBy("_o").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= SHARED).select("_o")
+    shared = openings.join(many, "_o").groupBy(key).agg((F.max("_n") + 1).alias("_own"))
+    out = items.join(shared, key, "left").withColumn("_own", F.coalesce("_own", F.lit(0)))
     return out.select(key, F.array_join(F.slice("_s", F.col("_own") + 1, F.greatest(F.size("_s"), F.lit(1))), " ").alias("wording"))
 
 
@@ -44,18 +55,19 @@ def _item_words(text: str) -> tuple[list[bytes], list[int]]:
     return out, ends
 
 
-def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, sent: int = SENT_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, least: int = LEAST, sent: int = SENT_BYTES) -> DataFrame:
     """(doc_key, item_key): the document carries at least `least` words of the item in their order, in one stretch.
 
     Case, punctuation, spacing and markup do not count; single words may be lost
     or replaced at distances of eight words or more. Null and empty texts and
     items of fewer than `least` words give no row; each pair comes once.
 
-    Up to `sent` items, counted first, are sent to the workers with their
+    Items of up to `sent` bytes, summed first, are sent to the workers with their
     fingerprints; beyond that the fingerprints of both sides meet in a shuffled
-    join, and only the pairs that share one are extended.
+    join, and a document meets the items it shares one with.
     """
-    if len(items.select(item_key).limit(sent + 1).collect()) <= sent:
+    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length(item_text) + 16), F.lit(0))).first()[0]
+    if bytes_ <= sent:
         return _sent(docs, doc_key, doc_text, items, item_key, item_text, least).distinct()
     return _shuffled(docs, doc_key, doc_text, items, item_key, item_text, least)
 
@@ -162,29 +174,39 @@ def _shuffled(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, it
     a = fingerprints(left, "_d", "_t").select("_d", "print").distinct()
     b = fingerprints(right, "_i", "_w").select("_i", "print").distinct()
     pairs = a.join(b, "print").select("_d", "_i").distinct()
-    both = pairs.join(right, "_i").join(left, "_d")
+    row = F.floor((F.row_number().over(Window.partitionBy("_d").orderBy("_i")) - 1) / ITEMS_A_ROW)
+    met = pairs.withColumn("_row", row).join(right, "_i").groupBy("_d", "_row").agg(F.collect_list("_i").alias("_is"), F.collect_list("_w").alias("_ws"))
+    both = met.join(left, "_d")  # a text travels once for each `ITEMS_A_ROW` items
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
+
+        def gram(ws: list[bytes]) -> np.ndarray:
+            return grams(np.fromiter(map(codes.__getitem__, ws), np.uint64, len(ws)))
+
         for batch in batches:
-            keep = []
-            for n, (t, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                doc, (item, ends) = words(t), _item_words(w)
-                if len(item) < least:
-                    continue
-                hd = grams(np.fromiter(map(codes.__getitem__, doc), np.uint64, len(doc)))
-                hi = grams(np.fromiter(map(codes.__getitem__, item), np.uint64, len(item)))
-                where = defaultdict(list)
-                for q in winnow(hi):
-                    where[int(hi[q])].append(int(q))
-                hits = [(int(p), q) for p in winnow(hd) for q in where.get(int(hd[p]), ())]
-                if _carried(doc, item, ends, hits, least):
-                    keep.append(n)
-            rows = pa.array(keep, pa.int64())
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows)], names=[doc_key, item_key])
+            keep: list[int] = []
+            found: list[object] = []
+            for n, (t, ids, texts) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                doc = words(t)
+                hd = gram(doc)
+                at = [(int(hd[p]), int(p)) for p in winnow(hd)]
+                for item_id, w in zip(ids, texts, strict=True):
+                    item, ends = _item_words(w)
+                    if len(item) < least:
+                        continue
+                    hi = gram(item)
+                    where = defaultdict(list)
+                    for q in winnow(hi):
+                        where[int(hi[q])].append(int(q))
+                    hits = [(p, q) for h, p in at for q in where.get(h, ())]
+                    if _carried(doc, item, ends, hits, least):
+                        keep.append(n)
+                        found.append(item_id)
+            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(found, batch.column(2).type.value_type)], names=[doc_key, item_key])
 
     kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    return both.select("_d", "_i", "_t", "_w").mapInArrow(extend, f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}").distinct()
+    return both.select("_d", "_t", "_is", "_ws").mapInArrow(extend, f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}").distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,7 +92,8 @@ def longest_carry(doc: Sequence[bytes], item: Sequence[bytes], chunk_end: Sequen
     total = _forward(doc, item, chunk_end, a, b, apart)
     n, m = len(doc), len(item)
     first = _run(doc, item, a, b)
-    rdoc, ritem = doc[max(0, a - 400) : a][::-1], item[:b][::-1]
+    reach = 7 * (b + 1)  # no step passes over more than six words of the document for a word of the item
+    rdoc, ritem = doc[max(0, a - reach) : a][::-1], item[:b][::-1]
     ends = [m - s for s in _starts(chunk_end)[::-1]]
     rend = [_end_of(i, ends) for i in range(m - b, m)]
     back = _backward(rdoc, ritem, [e - (m - b) for e in rend], apart, first)

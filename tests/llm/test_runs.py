@@ -38,3 +38,17 @@ def test_passing_over_hits_loses_nothing():
         assert _carried(doc, item, ends, hits, 16) == want
         seen.add(want)
     assert seen == {True, False}
+
+
+def test_long_stretches_are_read_to_their_start():
+    item = [f"w{i}".encode() for i in range(900)]
+    doc = [b"x" if i == 60 else w for i, w in enumerate(item)]
+    assert longest_carry(doc, item, list(range(1, 901)), 890, 890) == 899
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_many_items_in_one_document(spark, sent):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(300)]
+    docs = spark.createDataFrame([(1, " . ".join(t for _, t in items)), (2, items[7][1]), (3, None)], "doc_id bigint, text string")
+    got = leaks(docs, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text", sent=sent)
+    assert {(r[0], r[1]) for r in got.collect()} == {(1, i) for i in range(300)} | {(2, 7)}

@@ -65,3 +65,9 @@ def test_items_of_one_wording_keep_it(spark):
     rows = [(i, f"Own start {i}. Rest {i}.") for i in range(5)]
     got = {r.item_id: r.wording for r in own_wording(spark.createDataFrame(rows, "item_id bigint, text string"), "item_id", "text").collect()}
     assert got == {i: t for i, t in rows}
+
+
+def test_any_number_of_shared_opening_sentences_is_left_out(spark):
+    rows = [(i, f"Read this. Then think. Choose well. Answer once. Own start {i}. Rest {i}.") for i in range(5)] + [(9, "Read this. Alone.")]
+    got = {r.item_id: r.wording for r in own_wording(spark.createDataFrame(rows, "item_id bigint, text string"), "item_id", "text").collect()}
+    assert got == {i: f"Own start {i}. Rest {i}." for i in range(5)} | {9: "Alone."}
