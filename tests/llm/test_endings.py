@@ -39,3 +39,30 @@ def test_open_ends_are_settled_by_the_corpus(spark):
     df = spark.createDataFrame([(k, v, "d") for k, v in texts.items()], "doc_id bigint, text string, unit string")
     assert {r.doc_id for r in cut_texts(df, "doc_id", "text").collect()} == {5, 6, 9, 18, 19}
     assert cut_texts(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_prefixes_of_any_length_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarry.llm.p8 import longer_copies
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1") for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 9, 40, 130]))) for _ in range(300)] + ["The " + "x" * 110, "The " + "x" * 111, None]
+    texts += [t[: rng.randrange(len(t) + 1)] for t in texts if t]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    goes_on = ~(F.col("s_end").rlike("[0-9]") & F.col("t_next").rlike("[0-9]"))
+    got = {r.s for r in longer_copies(df.select(F.col("t").alias("s")), df, goes_on).collect()}
+    known = [t for t in texts if t]
+    want = {s for s in known if any(len(t) > len(s) and t.startswith(s) and not (s[-1].isdigit() and t[len(s)].isdigit()) for t in known)}
+    assert got == want and "The " + "x" * 110 in got
+
+
+def test_a_long_last_line_meets_its_longer_copy(spark):
+    from quarry.llm.p8 import cut_texts
+
+    line = "supercalifragilisticexpialidocious" * 3 + "abcdefgh"
+    rows = [(1, f"One. Two.\n{line}"), (2, f"Three. Four.\n{line}"), (3, f"Five.\n{line}and more of it"), (4, None), (5, "")]
+    got = {r[0] for r in cut_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert {1, 2} <= got and not got & {4, 5}
