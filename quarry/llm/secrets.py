@@ -19,7 +19,7 @@ from quarry.llm.words import residual
 _NAME = r"(?:[\w.-]*?(?:pass(?:word|wd|phrase|wort|code)?|pwd|secret|token|api[_-]?key|apikey|credentials?|auth|contrase[nñ]a|mot_de_passe|(?:access|signing|private|secret|encryption|master|shared|account|service)[_-]?key|[_-]pw|seed|hmac_key))(?:[_-]?(?:hash|id))?"
 _NAME_AT = rf"(?<![\w-]){_NAME}(?![\w-])"
 #: Names that hold credential words but count, name or describe something.
-_NOT_NAME = re.compile(r"(?i)(?:max|min|num|count|n)_?tokens?$|tokeniz|tokens$|author|(?:_|-)(?:hash|id)$|passed|passing|bypass|compass|passenger|oauth_?(?:url|host)$")
+_NOT_NAME = re.compile(r"(?i)(?:max|min|num|count|n)_?tokens?$|tokeniz|tokens$|author|(?:_|-)(?:hash|id)$|passed|passing|bypass|compass|passenger|oauth_?(?:url|host)$|(?:checksum|digest|fingerprint|etag|sha\d+|md5)(?:[_-]?token)?$")
 _VALUE = r"[^\s\"'`<>]{6,}"
 #: Wrappers that only convert the literal they hold.
 _WRAP = r"(?:(?:\[\]byte|bytes\.fromhex|fromhex|hex!|mustHex|Some|String::from|bytes|b64decode|Buffer\.from|SecretStr|str)\s*\(\s*)?"
@@ -46,29 +46,46 @@ _HEADER = re.compile(r"(?i)\b(?P<scheme>bearer|basic)[ \t]+(?P<v>[A-Za-z0-9+/_.~
 _CALL = re.compile(r"(?i)\b(?:\w*login|connect|PlainAuth|basic_?auth|NetworkCredential|\w*Credentials?|(?:static|creds?)\.New|authenticate)\s*\((?P<args>[^\n]*)")
 _LITERAL = re.compile(r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
 _COMPARE = re.compile(rf"==\s*{_QUOTED}[^\n]*(?://|#)[^\n]*?{_NAME_AT}", re.I)
-_HEXKEY = re.compile(r"(?i)\b(?:hmac|seed|sign\w*|\w*key)\b[^\n]{0,60}?(?:mustHex|hex!|fromhex|unhex|hex\.DecodeString|hex::decode)\s*\(\s*[\"'](?P<v>[0-9a-f]{32,})[\"']")
+_HEXKEY = re.compile(r"(?i)\b(?:hmac|seed|sign\w*|\w*key)\b[^\n]*?(?:mustHex|hex!|fromhex|unhex|hex\.DecodeString|hex::decode)\s*\(\s*[\"'](?P<v>[0-9a-f]{32,})[\"']")
 _AKIA = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _PREFIXED = re.compile(r"(?<![\w./+-])(?:[a-z]{2,10}(?:[-_](?:live|test|prod|proj|pat|key|sec))?[-_.])(?P<tail>[A-Za-z0-9]{20,})(?![\w/+=-])")
 
-_HOLDER = re.compile(r"(?i)^(?:[x*.•#0-]+|<.*>|\[.*\]|\$\{.*\}?|\{\{.*|\{.*\}|%[sdv({].*|\$\(?\w+\)?|%\w+%|!\w*|.*redacted.*|.*(?:your|example|dummy|sample|placeholder|changeme|change[-_]me|todo|fixme|insert|replace)[-_ ]?.*|null|none|nil|true|false|undefined|string|required|optional)$")
+_HOLDER = re.compile(r"(?i)^(?:[x*.•#0-]+|<.*>|\[.*\]|\$\{.*\}?|\{\{.*|\{.*\}|%[sdv({].*|\$\(?\w+\)?|%\w+%|![A-Za-z]*|null|none|nil|true|false|undefined|string|required|optional)$")
+#: Words of placeholders; a value that holds one is a secret only if much more than words is left of it.
+_STAND_IN = re.compile(r"(?i)redacted|your|example|dummy|sample|placeholder|changeme|change[-_]me|todo|fixme|insert|replace")
+#: Names whose value may be all digits or look like a host name.
+_PASS = re.compile(r"(?i)pass|pwd|pw$|contrase|mot_de_passe|secret")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _HASHED = re.compile(r"(?i)^(?:sha\d*[-:]|md5[-:]|h1:|\$2[aby]\$|\$argon2|\$pbkdf2|W/|data:)")
 _HOST = re.compile(r"(?i)^(?:[\w-]+\.)+[a-z]{2,12}(?::\d+)?$")
 _CODE = re.compile(r"^[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+$|^[\w.]+\(|^&?\w+\[")
 
+#: Characters that words must leave unexplained in a value that holds a placeholder's word, and in one that looks like a host name; digits of a password.
+STAND_IN_LEAST, HOST_LEAST, DIGITS_LEAST = 10, 4, 8
+
 #: One expression of the RE2 dialect that is true of every text with a candidate: cheap, and wider than the rules.
 SIEVE = (
     r"(?i)pass|pwd|[_-]pw|secret|token|api[_-]?key|credential|auth|contrase|mot_de_passe|access[_-]?key|signing|private|\bpw\b|seed|hmac|login|connect|bearer|basic[ \t]|akia|asia[0-9a-z]{16}|eyj|encryption|master|shared[_-]?key|account[_-]?key|service[_-]?key|secret|://[^/\s:@]*:[^/\s@]+@|\b[a-z]{2,10}(?:[-_](?:live|test|prod|proj|pat|key|sec))?[-_.][a-z0-9]{20,}|mysql|psql|static\.new|creds?\.new|musthex|hex!|fromhex|unhex|hex\.decodestring|hex::decode"
 )
 
 
-def _secret(value: str, words: dict[str, float], least: int) -> bool:
-    """A value in a credential's place is a secret unless it holds a place, names a look-up, or is made of plain words."""
-    if len(value) < 6 or _HOLDER.match(value) or _UUID.match(value) or _HASHED.match(value) or _HOST.match(value):
-        return False
-    if value.isdigit():
+def _secret(value: str, words: dict[str, float], least: int, name: str = "password") -> bool:
+    """A value in a credential's place is a secret unless it holds a place, names a look-up, or is made of plain words.
+
+    name: what the value is assigned to. Digits alone and host names count only
+    where the name says password or secret and words leave much unexplained.
+    """
+    if len(value) < 6 or _HOLDER.match(value) or _UUID.match(value) or _HASHED.match(value):
         return False
+    if _STAND_IN.search(value):
+        least = max(least, STAND_IN_LEAST)
+    elif value.isdigit():
+        return len(value) >= DIGITS_LEAST and _PASS.search(name) is not None
+    elif _HOST.match(value):
+        if not _PASS.search(name) and not _random(value):
+            return False
+        least = max(least, HOST_LEAST)
     return residual(value, words) >= least
 
 
@@ -116,9 +133,9 @@ def find_secrets(text: str, words: dict[str, float], least: int = 2) -> list[tup
             if "name" in rule.groupindex and _NOT_NAME.search(m["name"]):
                 continue
             bare = "q" not in rule.groupindex
-            if bare and _CODE.match(m["v"]):
+            if bare and _CODE.match(m["v"]) and not (_random(m["v"]) and residual(m["v"], words) >= HOST_LEAST and m["v"][-1] != "("):
                 continue
-            if _secret(m["v"], words, least):
+            if _secret(m["v"], words, least, m["name"] if "name" in rule.groupindex else "password"):
                 add(*_inside(m, text))
     for m in _CALL.finditer(text):
         last = None

@@ -91,3 +91,16 @@ def test_the_sieve_lets_every_rule_pass(spark):
     rows = [(i, t, s) for i, (t, s) in enumerate([*shown, *more])]
     df = spark.createDataFrame(rows, "id bigint, text string, secret string")
     assert {(r.id, r.secret) for r in credentials(df, "id", "text").collect()} == {(i, s) for i, _, s in rows}
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('api_key = "todoQ9x7Kf2LmZ8"', "todoQ9x7Kf2LmZ8"), ('token = "Xq7-your-9fKe2LmQ"', "Xq7-your-9fKe2LmQ"), ('password = "739184650213"', "739184650213"), ('password = "Qx7k2.prod"', "Qx7k2.prod"),
+        ("PASSWORD=RfLjl40.mZ", "RfLjl40.mZ"), ("Password=!kKr3OSqbj9GU;Encrypt=true", "!kKr3OSqbj9GU"), ("digest-password: QnVmZmVyZWRCZWFjb24rOTE0MQ==", "QnVmZmVyZWRCZWFjb24rOTE0MQ=="),
+        ('token = "' + "aZ3" * 200 + '"', "aZ3" * 200), ('signKey' + " " * 80 + '= hex.DecodeString("' + "0a1b" * 16 + '")', "0a1b" * 16),
+        ('api_key = "your-api-key-here"', None), ('checksum_token = "0123456789abcdef0123456789abcdef"', None), ('password = "db.internal.example.com"', None), ("pwd = config.database.password", None), ("max_tokens = 12345678", None),
+    ],
+)
+def test_no_value_is_passed_over_for_its_length_or_words(text, secret):
+    assert [text[a:b] for a, b in find_secrets(text, WORDS)] == ([secret] if secret else [])
