@@ -47,10 +47,8 @@ _FOREIGN = re.compile(
 )
 _OWN_NOTE = re.compile(r"(?i)all rights reserved|internal use only|confidential|proprietary")
 
-#: Lines and blocks of three lines' shapes that a file needs for its diversity to say something.
-LEAST_LINES = 8
-#: Distinct blocks among all below which names and lines follow a template; long files of hand-written code repeat themselves more.
-LOW_DIVERSITY, LOW_DIVERSITY_LONG, LONG_LINES = 0.5, 0.4, 150
+#: Distinct blocks of three lines' shapes among all below which names and lines follow a template, and the repeated ones it takes.
+LOW_DIVERSITY, LEAST_REPEATS = 0.42, 4
 #: Bits a character above which names are no names but encoded bytes; and, for short names, mangled.
 BYTES_BITS, MANGLED_BITS, MANGLED_LENGTH, MANGLED_NAMES = 3.6, 2.4, 4.6, 8
 #: Share of a file in unbroken encoded runs, or in digits, that makes it data.
@@ -104,18 +102,19 @@ def name_models(df: DataFrame, path: str, content: str) -> dict[str, np.ndarray]
     return out
 
 
+_COMMENT = re.compile(r"(?m)^[ \t]*(?://|#|/\*|\*|--|<!--|;|%)[^\n]*")
+
+
 def _notes(text: str) -> list[str]:
-    """The lines where notes about a file stand: its first twelve and last four that are not blank."""
-    head = [x for x in text[:3000].split("\n")[:16] if x.strip()][:12]
-    tail = [x for x in text[-1000:].split("\n") if x.strip()][-4:]
-    return head + tail
+    """All lines of the file that are nothing but a comment, where notes about a file stand."""
+    return _COMMENT.findall(text)
 
 
 def _judge(text: str, raw: bytes, bits: np.ndarray) -> str | None:
     notes = _notes(text)
     if any(_GENERATED.match(x) and not _BY_HAND.search(x) for x in notes):
         return "generated"
-    if any(_FOREIGN.match(x) and not _OWN_NOTE.search(x) for x in notes[:8]):
+    if any(_FOREIGN.match(x) and not _OWN_NOTE.search(x) for x in notes):
         return "vendored"
     codes = _codes(raw)
     inside = int(_INSIDE[codes].sum())
@@ -126,15 +125,14 @@ def _judge(text: str, raw: bytes, bits: np.ndarray) -> str | None:
     digits = sum(map(text.count, "0123456789"))
     if blob > BLOB_SHARE * len(text) or digits > DIGIT_SHARE * len(text) or (entropy > BYTES_BITS and names >= MANGLED_NAMES):
         return "data"
-    if names >= MANGLED_NAMES and length < MANGLED_LENGTH and entropy > MANGLED_BITS and len(text) > 200 and "(" in text:
+    if names >= MANGLED_NAMES and length < MANGLED_LENGTH and entropy > MANGLED_BITS and "(" in _COMMENT.sub("", text):
         return "minified"
     shape = _DIGITS.sub("0", _NAME.sub("w", _STRING.sub("s", text)))
     lines = [x for x in map(str.strip, shape.split("\n")) if x]
-    if len(lines) >= LEAST_LINES:
-        blocks = list(zip(lines, lines[1:], lines[2:], strict=False))
-        low = LOW_DIVERSITY if len(lines) < LONG_LINES else LOW_DIVERSITY_LONG
-        if len(set(blocks)) < low * len(blocks):
-            return "generated" if shape.count("w") > 0.04 * len(shape) and any(c in shape for c in "({") and "{" + "w" not in shape else "data"
+    blocks = list(zip(lines, lines[1:], lines[2:], strict=False))
+    distinct = len(set(blocks))
+    if len(blocks) - distinct >= LEAST_REPEATS and distinct < LOW_DIVERSITY * len(blocks):
+        return "generated" if shape.count("w") > 0.04 * len(shape) and any(c in shape for c in "({") and "{" + "w" not in shape else "data"
     return None
 
 

@@ -38,3 +38,17 @@ def test_kinds_and_decoys(spark):
     got = {r.file_id: r.kind for r in not_hand_written(df, "file_id", "path", "content").collect()}
     assert got == {500: "generated", 501: "generated", 502: "minified", 503: "vendored", 504: "data", 505: "data", 506: "generated"}
     assert not_hand_written(df.limit(0), "file_id", "path", "content").count() == 0
+
+
+def test_notes_count_wherever_they_stand_in_comments(spark):
+    rng = random.Random(4)
+    rows = [(i, f"/r/app/x{i}.py", hand(rng)) for i in range(60)]
+    deep = "".join(f"# line {i} of a long introduction\n" for i in range(200))
+    odd = {
+        500: deep + "# Copyright (c) 2018 The Saltgrid Authors.\n\n" + hand(rng),
+        501: "".join(f"# word {i}\n" for i in range(9)) + "# licensed under the Meadow License\n" + hand(rng),
+        502: hand(rng, 200) + "# Code generated by tool-stub. DO NOT EDIT.\n" + hand(rng, 200),
+        503: "\n".join(["emit_ledger(quota, 1)"] * 7) + "\n",
+    }
+    df = spark.createDataFrame([*rows, *[(k, "x.py", v) for k, v in odd.items()]], "file_id bigint, path string, content string")
+    assert {r.file_id for r in not_hand_written(df, "file_id", "path", "content").collect()} == set(odd)
