@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.words import TOKENIZER_DIR
+from quarry.session import materialize
 from quarry.tables import table
 
-#: Items that one task packs. More make more shards; a shard leaves at most a few packets half empty.
-SHARD_ITEMS = 50_000
+#: Packets of the greatest capacity that one task fills at least: the one or two it leaves half empty cost 0.2 % of the room at most.
+SHARD_PACKETS = 600
+#: Items that one task holds at most, however small they are.
+SHARD_ITEMS = 2_000_000
 # Fixed value: how the vocabulary's tokenizer parts a text before it merges bytes.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -92,22 +95,25 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str, capacity: str, expected: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str, capacity: str, shard_packets: int = SHARD_PACKETS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(profile, packet, key, piece, start, tokens): every item laid into packets of each capacity.
 
     An item that alone exceeds the capacity is split into full pieces and a
     rest, 0-based; all others stay whole as piece 0. Items are dealt by hash of
-    their key to shards of about `shard_items`, each packed by best fit
-    decreasing, so no task grows with the data; `expected`, about the number of
-    items, sets how many shards there are. Items of null, zero or negative
+    their key to shards, each packed by best fit decreasing, so no task grows
+    with the data: as many shards as keep at least `shard_packets` packets of
+    the greatest capacity in each, more only where a shard would hold above
+    `shard_items` items. The items are summed first, so they should come from a
+    written table. Items of null, zero or negative
     size and null or non-positive capacities give no row; a repeated key is laid
     as often as it comes.
     """
-    shards = max(1, -(-expected // shard_items))
     caps = limits.select(F.col(profile).alias("profile"), F.col(capacity).cast("bigint").alias("capacity")).filter("capacity > 0").distinct()
+    rows = [(r.profile, r.capacity) for r in caps.collect()]  # one row a profile
+    count, total = items.filter(F.col(size) > 0).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(size).cast("bigint")), F.lit(0))).first()
+    shards = max(1, total // (shard_packets * max((c for _, c in rows), default=1)), -(-count // shard_items))
     dealt = items.filter(F.col(size) > 0).select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
     kind = items.schema[key].dataType.simpleString()
-    rows = [(r.profile, r.capacity) for r in caps.collect()]  # one row a profile
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).cast("bigint").alias("capacity")) for p, c in rows])) if rows else None
     if each is None:
         return dealt.select(F.lit(None).cast("string").alias("profile"), F.lit(None).cast("bigint").alias("packet"), F.col("key").alias(key), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), F.col("size").alias("tokens")).limit(0)
@@ -132,8 +138,8 @@ def pack(items: DataFrame, key: str, size: str, limits: DataFrame, profile: str,
 
 def p6_packets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    sizes = token_counts(docs, "doc_id", "text")
-    return pack(sizes, "doc_id", "tokens", table(spark, folder, "packet_limits"), "profile", "max_approx_tokens", docs.count())
+    sizes = materialize(token_counts(docs, "doc_id", "text"), "sizes")
+    return pack(sizes, "doc_id", "tokens", table(spark, folder, "packet_limits"), "profile", "max_approx_tokens")
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_items_are_laid_whole_and_only_oversize_ones_split(spark):
     rows = [(i, rng.choice([1, 5, 30, 64, 64, 65, 200, 0, None, -3]), "x") for i in range(500)]
     items = spark.createDataFrame(rows, "doc bigint, size bigint, packet string")
     limits = spark.createDataFrame([("s", 64), ("l", 1000), ("bad", None), ("zero", 0), ("s", 64)], "profile string, cap int")
-    out = pack(items, "doc", "size", limits, "profile", "cap", 500, shard_items=100).collect()
+    out = pack(items, "doc", "size", limits, "profile", "cap", shard_packets=10).collect()
     for name, cap in (("s", 64), ("l", 1000)):
         own = [r for r in out if r.profile == name]
         fill = {}
@@ -56,8 +56,8 @@ def test_items_are_laid_whole_and_only_oversize_ones_split(spark):
         total = sum(fill.values())
         assert len(fill) <= -(-total // cap) * 1.1 + 6
     assert {r.profile for r in out} == {"s", "l"}
-    assert pack(items.limit(0), "doc", "size", limits, "profile", "cap", 0).count() == 0
-    assert pack(items, "doc", "size", limits.limit(0), "profile", "cap", 500).count() == 0
+    assert pack(items.limit(0), "doc", "size", limits, "profile", "cap").count() == 0
+    assert pack(items, "doc", "size", limits.limit(0), "profile", "cap").count() == 0
 
 
 def test_token_counts_are_those_of_the_vocabulary(spark):
@@ -72,3 +72,16 @@ def test_token_counts_are_those_of_the_vocabulary(spark):
     texts = ["Hello, world", "<|endoftext|>", "żółw 漢字\n\n\t x", "a" * 5000, "", None]
     got = {r.id: r.tokens for r in token_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()}
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts) if t}
+
+
+def test_many_shards_fill_as_one(spark):
+    rng = random.Random(8)
+    rows = [(i, int(min(3000, rng.lognormvariate(4, 1.2))) + 1) for i in range(40_000)]
+    items = spark.createDataFrame(rows, "doc bigint, size bigint")
+    limits = spark.createDataFrame([("l", 1024)], "profile string, cap int")
+    total = sum(n for _, n in rows)
+    fill = []
+    for packets in (10**9, 600):
+        out = pack(items, "doc", "size", limits, "profile", "cap", shard_packets=packets)
+        fill.append(total / 1024 / out.select("packet").distinct().count())
+    assert total > 4 * 600 * 1024 and fill[1] >= fill[0] - 0.002
