@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.plans import core_facts, core_files, core_findings, core_structure
-from quarry.plans.p1 import P1_FOUND_SQL, p1_found
 from quarry.plans.p2 import p2_found
 
 _PARTS = [core_findings, core_facts, core_files, core_structure]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found}
-ORACLE: dict[str, str] = {"p1_found": P1_FOUND_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+ORACLE: dict[str, str] = {}
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
