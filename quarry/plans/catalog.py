@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.plans import core_facts, core_files, core_findings, core_structure
-from quarry.plans.p2 import p2_found
+from quarry.plans.p2 import p2_found, p2_tables
 
 _PARTS = [core_findings, core_facts, core_files, core_structure]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_tables": p2_tables}
 ORACLE: dict[str, str] = {}
 for _part in _PARTS:
     QUERIES |= _part.QUERIES

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.shred import Layout, layout, schema_graph, shred
+from quarry.operators.shred import Layout, folded, layout, schema_graph, shred
 from quarry.tables import table
 
 RUN = ("runs",)
@@ -23,19 +25,22 @@ LABELS = {RUN: [("tool", "driver", "name")], RULE: [("id",)], RESULT: [("ruleId"
 
 
 def report_layout(reports: DataFrame) -> Layout:
-    """The graph has a row for each structural path of the format, not for each record, so it fits the driver."""
-    return layout(schema_graph(reports, "body").collect(), repeated=list(KINDS))
+    """Tables of the reports: the driver gets one row for each element of the format, see `folded`."""
+    return layout(folded(schema_graph(reports, "body")), repeated=list(KINDS))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     reports = table(spark, folder, "sarif_reports").select("report_id", "body")
-    rows = shred(reports, "report_id", "body", report_layout(reports), LABELS)
-    kind = F.create_map(*[x for p, k in KINDS.items() for x in (F.lit(_json(p)), F.lit(k))])
-    label = F.coalesce(F.try_element_at("values", F.lit(1)), F.lit(""))
+    rows = shred(reports, "report_id", "body", report_layout(reports), LABELS, levels=0)
+    kind = F.create_map(*[x for p, k in KINDS.items() for x in (F.lit(json.dumps(p)), F.lit(k))])
+    label = F.coalesce(F.try_element_at(F.map_values("members"), F.lit(1)), F.lit(""))
     return rows.select("report_id", kind[F.col("node")].alias("kind"), "path", "parent", label.alias("label")).distinct()
 
 
-def _json(path: tuple[str, ...]) -> str:
-    import json
-
-    return json.dumps(path)
+def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table that the layout makes of the reports: why it is one, its rows, its reports and the inlined values it holds."""
+    reports = table(spark, folder, "sarif_reports").select("report_id", "body").dropDuplicates(["report_id"])
+    tables = report_layout(reports)
+    why = F.create_map(*[x for p, w in tables.tabled.items() for x in (F.lit(json.dumps(p)), F.lit(w))])
+    rows = shred(reports, "report_id", "body", tables)
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("report_id").alias("reports"), F.sum(F.size("members")).alias("members")).select("node", why[F.col("node")].alias("why"), "rows", "reports", "members")
