@@ -33,6 +33,9 @@ CREDENTIALS = [
     r"\bsk-(?:proj-)?[A-Za-z0-9_-]{16,}\b",
     r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
 ]
+# The mark of text left out; shares of an item and a batch in the token estimate, and of answers in the output.
+TRUNCATED = "\u2026<TRUNCATED>"
+ITEM_TOKENS, BATCH_TOKENS, OUTPUT_BASE, OUTPUT_EACH = 64, 32, 64, 384
 LEVELS = {"critical": "error", "high": "error", "medium": "warning"}
 
 
@@ -111,30 +114,52 @@ def other_writable(literal: Column) -> Column:
 
 
 def limit_lines(text: Column, n: int) -> Column:
-    """At most n lines, with a note of how many are left out."""
+    """At most n lines, with a mark where more are left out; '' for n below 1."""
+    if n <= 0:
+        return F.when(text.isNotNull(), F.lit(""))
     lines = F.split(text, "\n")
-    return F.when(F.size(lines) > n, F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n... ("), (F.size(lines) - n).cast("string"), F.lit(" more lines)"))).otherwise(text)
+    return F.when(F.size(lines) > n, F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit(f"\n{TRUNCATED}"))).otherwise(text)
 
 
 def excerpt(text: Column, start: Column, end: Column, most: int) -> Column:
-    """Lines start..end, at most `most`; null places give null."""
-    n = F.greatest(F.lit(0), F.least(end - start + 1, F.lit(most)))
-    return F.array_join(F.slice(F.split(text, "\n"), F.greatest(start, F.lit(1)), n.cast("int")), "\n")
+    """Lines start..end, at most `most`; an end before the start is the start, a start before 1 is 1; null places give null."""
+    if most <= 0:
+        return F.when(text.isNotNull(), F.lit(""))
+    first = F.greatest(start, F.lit(1))
+    n = F.least(F.greatest(end, first) - first + 1, F.lit(most))
+    return F.when(start.isNotNull() & end.isNotNull(), F.array_join(F.slice(F.split(text, "\n"), first, n.cast("int")), "\n"))
+
+
+def line_count(text: Column) -> Column:
+    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "\n")))
 
 
 def truncate_bytes(text: Column, n: int) -> Column:
-    return F.when(F.octet_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+    """The first n bytes and an ellipsis where the text is longer; a character that the limit cuts is left out."""
+    cut = F.substring(text.cast("binary"), 1, n).cast("string")
+    whole = F.when(F.is_valid_utf8(cut), cut).otherwise(F.regexp_replace(F.make_valid_utf8(cut), "\ufffd+$", ""))
+    return F.when(F.octet_length(text) > n, F.concat(whole, F.lit("\u2026"))).otherwise(text)
 
 
-def tokens_flat(text: Column, per_item: int = 64) -> Column:
+def tokens_flat(text: Column, per_item: int = ITEM_TOKENS) -> Column:
     """Estimate A: a token for four bytes, and a share for the item."""
     return F.floor((F.octet_length(text) + 3) / 4) + per_item
 
 
+def batch_input_tokens(items: Column) -> Column:
+    """Estimate A of a batch from the sum of its items' estimates."""
+    return items + BATCH_TOKENS
+
+
+def batch_output_tokens(n: Column) -> Column:
+    """Tokens planned for the answers to n items of a batch."""
+    return n * OUTPUT_EACH + OUTPUT_BASE
+
+
 def tokens_by_class(text: Column) -> Column:
-    """Estimate B: the greater of half the bytes, rounded up, and twice the structural plus the non-ASCII bytes; at most all bytes."""
+    """Estimate B: the greater of half the bytes, rounded up, and twice the ASCII bytes that are no letter or digit plus the non-ASCII bytes; at most all bytes."""
     size = F.octet_length(text)
-    structural = F.length(F.regexp_replace(text, r"[^{}\[\]\",:\\]", ""))
+    structural = F.length(F.regexp_replace(text, r"[A-Za-z0-9]|[^\x00-\x7F]", ""))
     ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
     return F.least(size, F.greatest(F.ceil(size / 2), 2 * structural + (size - ascii_))).cast("bigint")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.severity import SEVERITIES, rule_key, severity_rank, unit_confidence
 
 # Statuses of a decision; those that accept a finding; order of categories and evidence for review.
-STATUSES = ["CONFIRMED", "DOWNGRADED", "REJECTED", "UNSUPPORTED", "UNCERTAIN", "NOT_REVIEWED"]
+STATUSES = ["CONFIRMED", "DOWNGRADED", "UNSUPPORTED", "UNCERTAIN", "NOT_REVIEWED"]
 ACCEPTED = ["CONFIRMED", "DOWNGRADED"]
 POLICIES = ["STATIC_AUTHORITATIVE", "CONTEXT_REQUIRED"]
 CATEGORY_ORDER = {"Security": 5, "Correctness": 4, "Performance": 3, "Architecture": 2}
@@ -70,41 +70,60 @@ def content_id() -> Column:
 def gate(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates with a bounded decision: status, source, final severity and confidence, accepted.
 
-    A wrong policy or severity makes a candidate UNCERTAIN; an authoritative one
-    is CONFIRMED by STATIC. A decision counts only if its status, severity and
-    confidence are valid and, to accept, it comes from AI with a reason; it can
-    lower but never raise severity and confidence. Without one a candidate is
-    NOT_REVIEWED. decisions: finding_id, status, source, severity, confidence, reason.
+    A wrong policy, severity or confidence makes a candidate UNCERTAIN; an
+    authoritative one is CONFIRMED by STATIC. A decision without a status is
+    NOT_REVIEWED, as is a candidate without a decision. Any other counts only if
+    its status is known, its confidence, where null is 0, lies in 0..1, its
+    severity is empty or known and, to accept, it comes from AI with a reason;
+    else the candidate is UNCERTAIN with its own severity and confidence. A
+    decision can lower but never raise them; an empty severity keeps them.
+    decisions: finding_id, status, source, severity, confidence, reason; of
+    several for one finding any one counts.
     """
     d = decisions.dropDuplicates(["finding_id"]).select(
-        F.col("finding_id").alias("_id"), F.col("status").alias("_status"), F.col("source").alias("_source"), F.col("severity").alias("_severity"), F.col("confidence").alias("_confidence"), F.col("reason").alias("_reason")
+        F.col("finding_id").alias("_id"), F.coalesce("status", F.lit("")).alias("_status"), F.col("source").alias("_source"), F.coalesce("severity", F.lit("")).alias("_severity"), F.coalesce("confidence", F.lit(0.0)).alias("_confidence"), F.col("reason").alias("_reason")
     )
     rows = candidates.join(d, candidates["id"] == F.col("_id"), "left")
     own, other = severity_rank(F.col("severity")), severity_rank(F.col("_severity"))
-    valid = (
+    known = (
         F.col("_status").isin(*STATUSES)
         & F.col("_confidence").between(0.0, 1.0)
-        & ~F.isnan("_confidence")
-        & (other > 0)
-        & (~F.col("_status").isin(*ACCEPTED) | ((F.col("_source") == "AI") & (F.trim("_reason") != "")))
+        & ((other > 0) | (F.col("_severity") == ""))
+        & (~F.col("_status").isin(*ACCEPTED) | ((F.col("_source") == "AI") & (F.coalesce(F.trim("_reason"), F.lit("")) != "")))
     )
-    good = F.col("review_policy").isin(*POLICIES) & (own > 0) & F.col("confidence").between(0.0, 1.0)
+    valid = F.coalesce((F.col("_status") == "") | known, F.lit(False))
+    good = F.coalesce(F.col("review_policy").isin(*POLICIES) & (own > 0) & F.col("confidence").between(0.0, 1.0), F.lit(False))
     fixed = F.col("review_policy") == "STATIC_AUTHORITATIVE"
-    status = (
-        F.when(~F.coalesce(good, F.lit(False)), "UNCERTAIN").when(fixed, "CONFIRMED").when(F.col("_id").isNull(), "NOT_REVIEWED").when(~F.coalesce(valid, F.lit(False)), "UNCERTAIN").otherwise(F.col("_status"))
-    )
-    taken = F.coalesce(good & ~fixed & valid, F.lit(False)) & F.col("_id").isNotNull()
-    lower = taken & (other < own)
+    given = F.col("_id").isNotNull()
+    status = F.when(~good, "UNCERTAIN").when(fixed, "CONFIRMED").when(~given, "NOT_REVIEWED").when(~valid, "UNCERTAIN").when(F.col("_status") == "", "NOT_REVIEWED").otherwise(F.col("_status"))
+    taken = F.coalesce(good & ~fixed & given & valid, F.lit(False))
     return (
         rows.withColumn("status", status)
-        .withColumn("source", F.when(F.coalesce(good & fixed, F.lit(False)), "STATIC").when(taken, F.col("_source")))
-        .withColumn("final_severity", F.when(lower, severity_name(F.col("_severity"))).otherwise(F.col("severity")))
+        .withColumn("source", F.when(good & fixed, "STATIC").when(good & given, F.col("_source")))
+        .withColumn("final_severity", F.when(taken & (other > 0) & (other < own), severity_name(F.col("_severity"))).otherwise(F.col("severity")))
         .withColumn("final_confidence", F.when(taken, F.least("confidence", "_confidence")).otherwise(F.col("confidence")))
         .withColumn("accepted", F.col("status").isin(*ACCEPTED))
         .drop("_id", "_status", "_source", "_severity", "_confidence", "_reason")
     )
 
 
+def presentation_state(contextual: Column, completed: Column, failed: Column, not_reviewed: Column, disabled: Column) -> Column:
+    """disabled, unnecessary, complete, partial or unavailable.
+
+    contextual: candidates that need a review; completed: those reviewed, or
+    answered from a cache; failed: whether a request failed, a candidate lacked
+    context or the review stopped; disabled: whether no review was wanted.
+    """
+    return (
+        F.when(disabled, "disabled")
+        .when(contextual == 0, "unnecessary")
+        .when((not_reviewed == 0) & ~failed, "complete")
+        .when(completed > 0, "partial")
+        .when(failed, "unavailable")
+        .otherwise("partial")
+    )
+
+
 def presentation_filter(finals: DataFrame, minimum: str | None = None, category: str | None = None) -> DataFrame:
     """Findings of at least the severity and of the category, without regard to case; unknown values are an error."""
     out = finals

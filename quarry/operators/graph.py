@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,17 +61,44 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     return seen if seen is not None else starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).limit(0)
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 11) -> DataFrame:
-    """(src, dst, path): all simple paths of 2..most nodes between given pairs; a path stops at its target."""
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    open_ = pairs.filter("src <> dst").distinct().withColumn("path", F.array("src"))
+def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 11, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, src, dst, path): all simple paths of 2..most nodes between given pairs; a path stops at its target.
+
+    keys: columns of both sides that tell graphs apart, usually the scan. Only
+    nodes that still reach the target in the steps left are walked to, so no
+    path is grown that cannot end there.
+    """
+    keys = list(keys)
+    e = materialize(edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
+    open_ = pairs.filter("src <> dst").select(*keys, "src", "dst").distinct()
+    left = _to_target(e, open_.select(*keys, "dst").distinct(), keys, most - 1)
+    open_ = open_.withColumn("node", F.col("src")).withColumn("path", F.array("src"))
     out: DataFrame | None = None
-    for _ in range(most - 1):
-        grown = open_.join(e, F.element_at("path", -1) == e["node"]).filter(~F.array_contains("path", F.col("next"))).select("src", "dst", F.concat("path", F.array("next")).alias("path"))
-        done = grown.filter(F.element_at("path", -1) == F.col("dst"))
+    for step in range(1, most):
+        grown = open_.join(e, [*keys, "node"]).filter(~F.array_contains("path", F.col("next")))
+        ends = left.filter(F.col("steps") <= most - 1 - step).select(*keys, "dst", F.col("node").alias("next"))
+        grown = grown.join(ends, [*keys, "dst", "next"]).select(*keys, "src", "dst", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        grown = materialize(grown, "paths")
+        if grown.isEmpty():
+            break
+        done = grown.filter(F.col("node") == F.col("dst")).select(*keys, "src", "dst", "path")
         out = done if out is None else out.unionByName(done)
-        open_ = grown.filter(F.element_at("path", -1) != F.col("dst"))
-    return out
+        open_ = grown.filter(F.col("node") != F.col("dst"))
+    return out if out is not None else pairs.select(*keys, "src", "dst", F.array("src").alias("path")).limit(0)
+
+
+def _to_target(e: DataFrame, targets: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """(keys, dst, node, steps): the fewest steps from each node to each target, up to `depth`; the target itself takes none."""
+    front = targets.withColumn("node", F.col("dst")).withColumn("steps", F.lit(0))
+    seen = front
+    back = e.select(*keys, F.col("next").alias("node"), F.col("node").alias("before")).distinct()
+    for d in range(1, depth + 1):
+        new = front.join(back, [*keys, "node"]).select(*keys, "dst", F.col("before").alias("node")).distinct().join(seen, [*keys, "dst", "node"], "left_anti").withColumn("steps", F.lit(d))
+        new = materialize(new, "targets")
+        if new.isEmpty():
+            break
+        seen, front = seen.unionByName(new), new
+    return seen
 
 
 def called_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:

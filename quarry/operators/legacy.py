@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# What is called without looking at its error, as an expression of both regex dialects in use.
+SAFE_CALLEES = ["fmt.Print", "fmt.Println", "fmt.Printf", "fmt.Fprint", "fmt.Fprintf", "fmt.Fprintln", "copy", "append", "len", "cap", "close", "delete", "panic", "recover", "make", "new"]
+SAFE = r"_\s*:?=\s*(" + "|".join(c.replace(".", r"\.") for c in SAFE_CALLEES) + r")\("
+#: A database call, and a statement in it that is joined or formatted from parts.
+DB_CALL = r"\.([qQ]uery|[qQ]ueryRow|[eE]xec|[rR]aw)(Context)?\("
+BUILT = r"(?i)(select|insert|update|delete)\b[^\"]*\"\s*\+\s*[a-z_]|sprintf\(\s*\"[^\"]*(select|insert|update|delete)"
+
+
 def ignored_error(line: Column) -> Column:
-    """A call whose last result is assigned to the blank name."""
-    return line.rlike(r"(?:^|[,\s])_\s*:?=\s*[\w.]+\(")
+    """A call whose last result is assigned to the blank name, other than of a callee that cannot fail."""
+    return line.rlike(r"(?:^|[,\s])_\s*:?=\s*[\w.]+\(") & ~line.rlike(SAFE)
 
 
 def sql_by_concatenation(line: Column) -> Column:
-    """A database call whose statement is joined or formatted from parts."""
-    return line.rlike(r"(?i)\.(?:query|queryrow|exec|raw)(?:context)?\(") & line.rlike("(?i)(?:select|insert|update|delete)\\b[^\"]*\"\\s*\\+|sprintf\\(\\s*\"[^\"]*(?:select|insert|update|delete)")
+    """A database call whose statement is joined with a variable or formatted from parts."""
+    return line.rlike(DB_CALL) & line.rlike(BUILT)
 
 
 def nil_dereference(lines: DataFrame) -> DataFrame:

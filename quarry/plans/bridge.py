@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +42,11 @@ facts AS (SELECT event_id AS id, kind, CASE WHEN kind IN ('resource_acquire', 'r
 """
 
 
-def call_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src, dst, n: neighbours in the call chains of findings and how often each pair occurs."""
+def call_edges(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, src, dst, n: neighbours in the call chains of findings and how often each pair occurs."""
     f = table(spark, folder, "findings").dropDuplicates(["id"]).filter(F.size("call_chain") > 1)
-    pairs = f.select(F.explode(F.arrays_zip(F.slice("call_chain", 1, F.size("call_chain") - 1).alias("src"), F.slice("call_chain", 2, F.size("call_chain")).alias("dst"))).alias("p"))
-    return pairs.select(F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    pairs = f.select(*keys, F.explode(F.arrays_zip(F.slice("call_chain", 1, F.size("call_chain") - 1).alias("src"), F.slice("call_chain", 2, F.size("call_chain")).alias("dst"))).alias("p"))
+    return pairs.select(*keys, F.col("p.src").alias("src"), F.col("p.dst").alias("dst")).filter("src is not null and dst is not null").groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 EDGES = """

@@ -29,7 +29,7 @@ def r7_unchecked_iteration(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r10_complexity(spark: SparkSession, folder: str) -> DataFrame:
-    return lifecycle.complexity(facts(spark, folder), ["propagation", "sink"], 10, 30)
+    return lifecycle.complexity(facts(spark, folder), ["propagation", "sink"], 10, 20)
 
 
 def r16_undisturbed(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,10 +84,10 @@ def q2_called_by(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q4_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Simple paths of up to eleven nodes between the ends of every chain."""
+    """Simple paths of up to eleven nodes between the ends of every chain, in the graph of its scan."""
     f = table(spark, folder, "findings").dropDuplicates(["id"]).filter(F.size("call_chain") > 2)
-    ends = f.select(F.element_at("call_chain", 1).alias("src"), F.element_at("call_chain", -1).alias("dst")).filter("src is not null and dst is not null")
-    return graph.simple_paths(call_edges(spark, folder), ends.distinct()).select("src", "dst", F.array_join("path", ">").alias("path"))
+    ends = f.select("scan_id", F.element_at("call_chain", 1).alias("src"), F.element_at("call_chain", -1).alias("dst")).filter("src is not null and dst is not null")
+    return graph.simple_paths(call_edges(spark, folder, ["scan_id"]), ends, keys=["scan_id"]).select("scan_id", "src", "dst", F.array_join("path", ">").alias("path"))
 
 
 def q5_most_called(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,11 +118,12 @@ def q7_enclosing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FLOW = FACTS + """,
-w AS (SELECT r.id, r.kind, (SELECT w.id FROM facts w WHERE w.function = r.function AND w.output = r.input AND w.line < r.line ORDER BY w.line DESC LIMIT 1) AS from_id FROM facts r WHERE r.input IS NOT NULL),
-fl AS (SELECT * FROM w WHERE from_id IS NOT NULL AND kind IN ('propagation', 'sink')),
+kl AS (SELECT function, output AS symbol, line FROM facts WHERE kind = 'propagation' AND input IS NULL AND output IS NOT NULL),
+fl AS (SELECT w.id AS from_id, r.id, r.kind FROM facts w JOIN facts r ON r.function = w.function AND r.input = w.output AND r.line >= w.line AND r.id <> w.id AND r.kind IN ('propagation', 'sink')
+  WHERE w.kind IN ('source', 'propagation') AND NOT EXISTS (SELECT 1 FROM kl WHERE kl.function = w.function AND kl.symbol = w.output AND kl.line > w.line AND kl.line <= r.line)),
 tr(source_id, pos, kind, steps) AS (
   SELECT s.id, f.id, f.kind, 0 FROM facts s JOIN fl f ON f.from_id = s.id WHERE s.kind = 'source'
-  UNION ALL SELECT t.source_id, f.id, f.kind, t.steps + 1 FROM tr t JOIN fl f ON f.from_id = t.pos WHERE t.kind = 'propagation' AND t.steps < 4),
+  UNION SELECT t.source_id, f.id, f.kind, t.steps + 1 FROM tr t JOIN fl f ON f.from_id = t.pos WHERE t.kind = 'propagation' AND t.steps < 16),
 traces AS (SELECT source_id, pos AS sink_id, min(steps) AS steps FROM tr WHERE kind = 'sink' GROUP BY ALL)
 """
 _OPEN = """a AS (SELECT * FROM facts f WHERE kind = 'resource_acquire' AND NOT EXISTS (SELECT 1 FROM facts r WHERE r.kind = 'resource_release' AND r.file = f.file AND r.function = f.function AND r.operation = f.operation AND r.input = f.output AND r.line > f.line))"""
@@ -138,7 +139,7 @@ ORACLE = {
     "r6_leaks": f"WITH {FACTS}, {_OPEN} SELECT id, file, function, line, output FROM a WHERE NOT EXISTS (SELECT 1 FROM facts p WHERE p.kind = 'propagation' AND p.file = a.file AND p.function = a.function AND p.input = a.output AND p.line > a.line)",
     "r7_unchecked_iteration": f"""WITH {FACTS}, m AS (SELECT f.id, f.file, f.function, f.line, f.output, max(p.line) AS read FROM facts f JOIN facts p ON p.kind = 'propagation' AND p.function = f.function AND p.input = f.output AND p.line > f.line WHERE f.kind = 'resource_acquire' GROUP BY ALL)
 SELECT id, file, function, line FROM m WHERE NOT EXISTS (SELECT 1 FROM facts r WHERE r.kind = 'resource_release' AND r.function = m.function AND r.input = m.output AND r.line > m.read)""",
-    "r10_complexity": f"WITH {FACTS} SELECT file, function, count(*) + 1 AS complexity, max(line) AS line, CASE WHEN count(*) + 1 > 30 THEN 'High' ELSE 'Medium' END AS severity FROM facts WHERE kind IN ('propagation', 'sink') GROUP BY file, function HAVING count(*) + 1 > 10",
+    "r10_complexity": f"WITH {FACTS} SELECT file, function, count(*) + 1 AS complexity, max(line) AS line, CASE WHEN count(*) + 1 > 20 THEN 'High' ELSE 'Medium' END AS severity FROM facts WHERE kind IN ('propagation', 'sink') GROUP BY file, function HAVING count(*) + 1 > 10",
     "r16_undisturbed": f"""WITH {FACTS}, s AS (SELECT p.id AS second_id, p.file, p.function, p.line, (SELECT a.id FROM facts a WHERE a.kind = 'resource_acquire' AND a.function = p.function AND a.line < p.line ORDER BY a.line DESC LIMIT 1) AS first_id FROM facts p WHERE p.kind = 'propagation')
 SELECT first_id, second_id, s.file, s.function FROM s JOIN facts a ON a.id = s.first_id WHERE NOT EXISTS (SELECT 1 FROM facts k WHERE k.kind = 'sink' AND k.function = s.function AND k.line > a.line AND k.line < s.line)""",
     "r4_taint_by_sink": f"WITH RECURSIVE {_FLOW} SELECT source_id, sink_id, CASE WHEN steps = 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence, 'strong' AS strength FROM traces WHERE sink_id IN (SELECT id FROM facts WHERE kind = 'sink' AND input = 'v1')",
@@ -149,14 +150,16 @@ SELECT first_id, second_id, s.file, s.function FROM s JOIN facts a ON a.id = s.f
 g AS (SELECT p_name AS name, min(node_id) AS g FROM p GROUP BY p_name HAVING count(*) = 1), l AS (SELECT p_name AS name, file, min(node_id) AS l FROM p GROUP BY p_name, file HAVING count(*) = 1)
 SELECT p.node_id AS call_id, coalesce(g.g, l.l) AS node_id FROM p LEFT JOIN g USING (name) LEFT JOIN l ON l.name = p.name AND l.file = p.file WHERE coalesce(g.g, l.l) IS NOT NULL""",
     "i1_kinds": f"WITH {FACTS} SELECT kind, count(*) AS n, count(DISTINCT function) AS functions FROM facts GROUP BY kind",
-    "q1_reach": f"""WITH RECURSIVE {EDGES}, top AS (SELECT dst AS start FROM edges GROUP BY dst ORDER BY sum(n) DESC, dst LIMIT 20),
+    "q1_reach": f"""WITH RECURSIVE {EDGES}, top AS (SELECT DISTINCT src AS start FROM edges),
 r(start, node, distance) AS (SELECT start, dst, 1 FROM top JOIN edges ON src = start UNION SELECT r.start, e.dst, r.distance + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.distance < 3)
 SELECT start, node, CAST(min(distance) AS BIGINT) AS distance FROM r WHERE node <> start GROUP BY ALL""",
-    "q2_called_by": f"WITH {EDGES}, top AS (SELECT dst FROM edges GROUP BY dst ORDER BY sum(n) DESC, dst LIMIT 20) SELECT DISTINCT dst AS node, src AS caller FROM edges JOIN top USING (dst)",
-    "q4_paths": f"""WITH RECURSIVE {EDGES}, c AS (SELECT call_chain[1] AS src, call_chain[-1] AS dst FROM fd WHERE len(call_chain) > 2),
-pairs AS (SELECT src, dst FROM c WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src, dst ORDER BY count(*) DESC, src, dst LIMIT 50),
-g(src, dst, path) AS (SELECT src, dst, [src] FROM pairs WHERE src <> dst UNION ALL SELECT g.src, g.dst, list_append(g.path, e.dst) FROM g JOIN edges e ON e.src = g.path[-1] WHERE g.path[-1] <> g.dst AND NOT list_contains(g.path, e.dst) AND len(g.path) < 4)
-SELECT src, dst, array_to_string(path, '>') AS path FROM g WHERE path[-1] = dst AND len(path) > 1""",
+    "q2_called_by": f"WITH {EDGES} SELECT DISTINCT dst AS node, src AS caller FROM edges",
+    "q4_paths": """WITH RECURSIVE fd AS (SELECT DISTINCT ON (id) id, scan_id, call_chain FROM findings),
+pr AS (SELECT scan_id, unnest(list_zip(call_chain[1:len(call_chain)-1], call_chain[2:len(call_chain)])) AS p FROM fd WHERE len(call_chain) > 1),
+edges AS (SELECT DISTINCT scan_id, p[1] AS src, p[2] AS dst FROM pr WHERE p[1] IS NOT NULL AND p[2] IS NOT NULL),
+pairs AS (SELECT DISTINCT scan_id, call_chain[1] AS src, call_chain[-1] AS dst FROM fd WHERE len(call_chain) > 2 AND call_chain[1] IS NOT NULL AND call_chain[-1] IS NOT NULL AND scan_id IS NOT NULL),
+g(scan_id, src, dst, path) AS (SELECT scan_id, src, dst, [src] FROM pairs WHERE src <> dst UNION ALL SELECT g.scan_id, g.src, g.dst, list_append(g.path, e.dst) FROM g JOIN edges e ON e.scan_id = g.scan_id AND e.src = g.path[-1] WHERE g.path[-1] <> g.dst AND NOT list_contains(g.path, e.dst) AND len(g.path) < 11)
+SELECT scan_id, src, dst, array_to_string(path, '>') AS path FROM g WHERE path[-1] = dst AND len(path) > 1""",
     "q5_most_called": f"WITH {EDGES} SELECT dst AS node, CAST(sum(n) AS BIGINT) AS sites FROM edges GROUP BY dst ORDER BY sites DESC, dst LIMIT 10",
     "a11_graph_stats": f"WITH {EDGES} SELECT count(*) AS edges, CAST(sum(n) AS BIGINT) AS sites, (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes FROM edges",
     "g7_edge_ids": "SELECT scan_id, id, 'e' || row_number() OVER (PARTITION BY scan_id ORDER BY file NULLS FIRST, start_line NULLS FIRST, id) AS edge_id FROM (SELECT DISTINCT ON (id) scan_id, id, file, start_line, call_chain FROM findings) WHERE len(call_chain) > 1",

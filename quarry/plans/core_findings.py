@@ -35,8 +35,8 @@ cat AS (SELECT r.repo_id, c.category, CAST(c.share AS DOUBLE) AS share, greatest
 )
 # Decisions as a review might record them, derived from each finding's own values.
 DECISIONS = """
-dec AS (SELECT id AS finding_id, ['CONFIRMED','DOWNGRADED','REJECTED','UNCERTAIN','MAYBE'][1 + CAST(length(title) % 5 AS INT)] AS status,
-  CASE WHEN length(title) % 3 = 0 THEN 'STATIC' ELSE 'AI' END AS source, CASE WHEN length(title) % 2 = 0 THEN 'Low' ELSE 'High' END AS severity,
+dec AS (SELECT id AS finding_id, ['CONFIRMED','DOWNGRADED','UNSUPPORTED','UNCERTAIN','MAYBE',''][1 + CAST(length(title) % 6 AS INT)] AS status,
+  CASE WHEN length(title) % 3 = 0 THEN 'STATIC' ELSE 'AI' END AS source, CASE WHEN length(title) % 11 = 0 THEN '' WHEN length(title) % 2 = 0 THEN 'Low' ELSE 'High' END AS severity,
   (length(title) % 12) / 10.0 AS confidence, CASE WHEN length(title) % 7 = 0 THEN '' ELSE 'seen' END AS reason
   FROM norm WHERE review_policy = 'CONTEXT_REQUIRED' AND title IS NOT NULL AND length(title) % 4 <> 1)
 """
@@ -47,13 +47,13 @@ GATE = (
     + """,
 j AS (SELECT n.*, d.finding_id, d.status AS ds, d.source AS dsrc, d.severity AS dsev, d.confidence AS dc,
   CASE d.severity WHEN 'High' THEN 4 WHEN 'Low' THEN 2 ELSE 0 END AS drank,
-  coalesce(d.status IN ('CONFIRMED','DOWNGRADED','REJECTED','UNSUPPORTED','UNCERTAIN','NOT_REVIEWED') AND d.confidence BETWEEN 0 AND 1
+  coalesce(d.status = '' OR d.status IN ('CONFIRMED','DOWNGRADED','UNSUPPORTED','UNCERTAIN','NOT_REVIEWED') AND d.confidence BETWEEN 0 AND 1
    AND (d.status NOT IN ('CONFIRMED','DOWNGRADED') OR (d.source = 'AI' AND trim(d.reason) <> '')), false) AS valid
   FROM norm n LEFT JOIN dec d ON n.id = d.finding_id),
-g AS (SELECT *, CASE WHEN sev = 0 THEN 'UNCERTAIN' WHEN review_policy = 'STATIC_AUTHORITATIVE' THEN 'CONFIRMED' WHEN finding_id IS NULL THEN 'NOT_REVIEWED' WHEN NOT valid THEN 'UNCERTAIN' ELSE ds END AS status,
+g AS (SELECT *, CASE WHEN sev = 0 THEN 'UNCERTAIN' WHEN review_policy = 'STATIC_AUTHORITATIVE' THEN 'CONFIRMED' WHEN finding_id IS NULL THEN 'NOT_REVIEWED' WHEN NOT valid THEN 'UNCERTAIN' WHEN ds = '' THEN 'NOT_REVIEWED' ELSE ds END AS status,
   sev > 0 AND review_policy <> 'STATIC_AUTHORITATIVE' AND finding_id IS NOT NULL AND valid AS taken FROM j),
-gated AS (SELECT *, CASE WHEN sev > 0 AND review_policy = 'STATIC_AUTHORITATIVE' THEN 'STATIC' WHEN taken THEN dsrc END AS source,
-  CASE WHEN taken AND drank < sev THEN dsev ELSE severity END AS final_severity, CASE WHEN taken THEN least(confidence, dc) ELSE confidence END AS final_confidence,
+gated AS (SELECT *, CASE WHEN sev > 0 AND review_policy = 'STATIC_AUTHORITATIVE' THEN 'STATIC' WHEN sev > 0 AND finding_id IS NOT NULL THEN dsrc END AS source,
+  CASE WHEN taken AND drank > 0 AND drank < sev THEN dsev ELSE severity END AS final_severity, CASE WHEN taken THEN least(confidence, dc) ELSE confidence END AS final_confidence,
   status IN ('CONFIRMED','DOWNGRADED') AS accepted FROM g)
 """
 )
@@ -65,13 +65,13 @@ def norm(spark: SparkSession, folder: str) -> DataFrame:
 
 def decisions(rows: DataFrame) -> DataFrame:
     n = F.length("title")
-    words = F.array(*[F.lit(s) for s in ["CONFIRMED", "DOWNGRADED", "REJECTED", "UNCERTAIN", "MAYBE"]])
+    words = F.array(*[F.lit(s) for s in ["CONFIRMED", "DOWNGRADED", "UNSUPPORTED", "UNCERTAIN", "MAYBE", ""]])
     picked = rows.filter((F.col("review_policy") == "CONTEXT_REQUIRED") & F.col("title").isNotNull() & (n % 4 != 1))
     return picked.select(
         F.col("id").alias("finding_id"),
-        F.element_at(words, (n % 5 + 1).cast("int")).alias("status"),
+        F.element_at(words, (n % 6 + 1).cast("int")).alias("status"),
         F.when(n % 3 == 0, "STATIC").otherwise("AI").alias("source"),
-        F.when(n % 2 == 0, "Low").otherwise("High").alias("severity"),
+        F.when(n % 11 == 0, "").when(n % 2 == 0, "Low").otherwise("High").alias("severity"),
         ((n % 12) / 10.0).cast("double").alias("confidence"),
         F.when(n % 7 == 0, "").otherwise("seen").alias("reason"),
     )
@@ -125,10 +125,15 @@ def a10_review_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a14_presentation_state(spark: SparkSession, folder: str) -> DataFrame:
+    """State of each repository's review; a contextual candidate without a file lacks context."""
     contextual = F.col("review_policy") == "CONTEXT_REQUIRED"
-    s = gated(spark, folder).groupBy("repo_id").agg(F.count_if(contextual).alias("wanted"), F.count_if(contextual & (F.col("status") == "NOT_REVIEWED")).alias("left"), F.count_if(contextual & F.col("status").isin("CONFIRMED", "DOWNGRADED", "REJECTED")).alias("decided"))
-    state = F.when(F.col("wanted") == 0, "unnecessary").when(F.col("left") == F.col("wanted"), "unavailable").when((F.col("left") > 0) | (F.col("decided") < F.col("wanted")), "partial").otherwise("complete")
-    return s.select("repo_id", state.alias("state"))
+    counts = gated(spark, folder).groupBy("repo_id").agg(
+        F.count_if(contextual).alias("contextual"),
+        F.count_if(contextual & (F.col("status") == "NOT_REVIEWED")).alias("left"),
+        F.count_if(contextual & (F.col("status") != "NOT_REVIEWED") & (F.col("source") == "AI")).alias("completed"),
+        F.bool_or(contextual & F.col("file").isNull()).alias("failed"),
+    )
+    return counts.select("repo_id", ops.presentation_state(F.col("contextual"), F.col("completed"), F.col("failed"), F.col("left"), F.lit(False)).alias("state"))
 
 
 def e6_contract(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,8 +234,8 @@ UNION ALL SELECT o.repo_id, 'VERIFIED_HEALTH', NOT w.open, CASE WHEN NOT w.open
     "a10_review_summary": f"""WITH {GATE} SELECT count(*) AS candidates, count(*) FILTER (WHERE review_policy <> 'CONTEXT_REQUIRED') AS authoritative, count(*) FILTER (WHERE review_policy = 'CONTEXT_REQUIRED') AS contextual,
  count(*) FILTER (WHERE {SMART}) AS eligible, count(*) FILTER (WHERE status = 'NOT_REVIEWED') AS not_reviewed, count(*) FILTER (WHERE status = 'UNCERTAIN') AS uncertain, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS withheld FROM gated""",
     "a14_presentation_state": f"""WITH {GATE}, s AS (SELECT repo_id, count(*) FILTER (WHERE review_policy = 'CONTEXT_REQUIRED') AS wanted, count(*) FILTER (WHERE review_policy = 'CONTEXT_REQUIRED' AND status = 'NOT_REVIEWED') AS lft,
- count(*) FILTER (WHERE review_policy = 'CONTEXT_REQUIRED' AND status IN ('CONFIRMED', 'DOWNGRADED', 'REJECTED')) AS decided FROM gated GROUP BY repo_id)
-SELECT repo_id, CASE WHEN wanted = 0 THEN 'unnecessary' WHEN lft = wanted THEN 'unavailable' WHEN lft > 0 OR decided < wanted THEN 'partial' ELSE 'complete' END AS state FROM s""",
+ count(*) FILTER (WHERE review_policy = 'CONTEXT_REQUIRED' AND status <> 'NOT_REVIEWED' AND source = 'AI') AS done, bool_or(review_policy = 'CONTEXT_REQUIRED' AND file IS NULL) AS failed FROM gated GROUP BY repo_id)
+SELECT repo_id, CASE WHEN wanted = 0 THEN 'unnecessary' WHEN lft = 0 AND NOT failed THEN 'complete' WHEN done > 0 THEN 'partial' WHEN failed THEN 'unavailable' ELSE 'partial' END AS state FROM s""",
     "e6_contract": """WITH r AS (SELECT DISTINCT ON (id) id, upper(trim(rule_id)) AS rule_id, review_policy, observation, hypothesis FROM findings)
 SELECT rule_id, count(*) AS broken FROM r WHERE review_policy = 'CONTEXT_REQUIRED' AND (coalesce(trim(observation), '') = '' OR coalesce(trim(hypothesis), '') = '') GROUP BY rule_id""",
     "e7_finding_order": f"WITH {NORM} SELECT scan_id, id, row_number() OVER (PARTITION BY scan_id ORDER BY rule_id NULLS FIRST, file NULLS FIRST, start_line NULLS FIRST, end_line NULLS FIRST, title NULLS FIRST, id) AS place FROM norm",
@@ -244,6 +249,6 @@ SELECT id, substr(sha256(CASE WHEN len(st) > 0 THEN head || chr(0) || array_to_s
     "w1_diverse_order": f"WITH {NORM}, {_sql_order('scan_id')} SELECT scan_id, id, round, turn FROM r JOIN b USING (scan_id, rule_id)",
     "w2_rule_cap": f"WITH {NORM}, {_sql_order('scan_id')} SELECT scan_id, rule_id, id FROM r WHERE round <= 10",
     "w3_human_order": f"""WITH {NORM}, p AS (SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY sev DESC, confidence DESC, coalesce(TRY_CAST(regexp_extract(title, '\\((\\d+)[^()]*\\)[^()]*$', 1) AS INT), 0) DESC, file NULLS FIRST, id) AS place FROM norm WHERE rule_id IS NOT NULL)
-SELECT repo_id, rule_id, id, place FROM p WHERE category <> 'Maintainability' OR category IS NULL OR place <= 5""",
+SELECT repo_id, rule_id, id, place FROM p WHERE category <> 'Maintainability' OR category IS NULL OR place <= 25""",
     "w7_sequence_ids": "SELECT item_id, concat_ws('.', kind, CAST(row_number() OVER (PARTITION BY finding_id, kind ORDER BY item_id) AS VARCHAR)) AS evidence_id FROM (SELECT DISTINCT item_id, finding_id, kind FROM evidence_items)",
 }

@@ -19,28 +19,31 @@ def random_facts(seed, n=160):
 
 
 def brute_traces(rows, most):
+    """By the definition: a source's taint of a symbol lasts until a write of it without an input."""
     out = {}
+    kills = [w for w in rows if w[1] == "propagation" and w[6] is None and w[7]]
     for src in (r for r in rows if r[1] == "source" and r[7]):
-        state = {src[0]: 0}
-        for r in rows:
-            if r[4] != src[4] or r[5] <= src[5] or r[6] is None:
-                continue
-            writes = [w for w in rows if w[4] == r[4] and w[7] == r[6] and w[5] < r[5]]
-            if not writes or writes[-1][0] not in state:
-                continue
-            steps = state[writes[-1][0]]
-            if r[1] == "sink":
-                out[src[0], r[0]] = steps
-            elif r[1] == "propagation" and steps + 1 <= most:
-                state[r[0]] = steps + 1
+        steps, front = {}, [(src, 0)]
+        while front:
+            nxt = []
+            for w, n in front:
+                for r in rows:
+                    if r[1] in ("sink", "propagation") and r[0] != w[0] and r[4] == w[4] and r[6] and r[6] == w[7] and r[5] >= w[5] and not any(k[4] == w[4] and k[7] == w[7] and w[5] < k[5] <= r[5] for k in kills) and r[0] not in steps:
+                        steps[r[0]] = n
+                        if r[1] == "propagation" and n < most:
+                            nxt.append((r, n + 1))
+            front = nxt
+        out |= {(src[0], r[0]): steps[r[0]] for r in rows if r[1] == "sink" and r[0] in steps}
     return out
 
 
 def test_traces_against_a_walk_in_order(spark):
     for seed in (1, 2):
         rows = random_facts(seed)
-        got = {(r.source_id, r.sink_id): r.steps for r in taint.traces(spark.createDataFrame(rows, SCHEMA), 3).collect()}
+        found = taint.traces(spark.createDataFrame(rows, SCHEMA), max_steps=3).collect()
+        got = {(r.source_id, r.sink_id): r.steps for r in found}
         assert got == brute_traces(rows, 3) and got
+        assert all(len(r.path) == r.steps for r in found)
 
 
 def test_kill_overwrite_and_order(spark):
@@ -51,6 +54,9 @@ def test_kill_overwrite_and_order(spark):
     assert steps(f(("sink", 1, "x", None), ("source", 2, None, "x"))) == []
     assert steps(f(("source", 1, None, "x"), ("propagation", 2, None, "x"), ("sink", 3, "x", None))) == []
     assert steps(f(("source", 1, None, "x"), ("sink", 2, "x", None), ("propagation", 3, None, "x"))) == [(0, 1, 0)]
+    assert steps(f(("source", 1, None, "x"), ("propagation", 2, "clean", "x"), ("sink", 3, "x", None))) == [(0, 2, 0)]  # a clean input leaves the older taint
+    assert steps(f(("source", 1, None, "x"), ("sanitizer", 2, "x", "x"), ("sink", 3, "x", None))) == []
+    assert steps(f(("source", 1, None, "x"), ("sink", 2, "x", None), ("sanitizer", 3, "x", "x"))) == [(0, 1, 0)]
     assert taint.traces(f(("source", 1, None, "x")).limit(0)).count() == 0
 
 
@@ -102,34 +108,55 @@ def test_value_used_before_its_error_is_checked(spark):
     assert [(r.n, r.symbol) for r in nil_dereference(df).collect()] == [(0, "v")]
 
 
-CALLS = "id bigint, file string, function string, line int, callee string, inputs array<string>, external boolean"
+WIDE = "id string, kind string, operation string, file string, function string, start_line int, start_column int, inputs array<string>, outputs array<string>, arguments array<string>, argument_inputs array<array<string>>, metadata map<string,string>"
 
 
-def across(spark, rows, calls, params, returns=()):
-    """Traces of facts (id, kind, function, line, input, output) with calls; params: (id, function, position, symbol)."""
-    facts = [(i, k, "", "f", fn, n, a, b) for i, k, fn, n, a, b in rows] + [(i, "entry", "", "f", fn, 0, None, s) for i, fn, _, s in params]
-    facts += [(c[0], "call", "", "f", c[1], c[2], None, c[5]) for c in calls]
-    df = spark.createDataFrame(facts, SCHEMA)
-    cs = spark.createDataFrame([(c[0], "f", c[1], c[2], c[3], c[4], c[6] if len(c) > 6 else False) for c in calls], CALLS)
-    en = spark.createDataFrame([(i, fn, p) for i, fn, p, _ in params], "id bigint, function string, position int")
-    rt = spark.createDataFrame(list(returns), "function string, position int")
-    return lambda **kw: {(r.source_id, r.sink_id, r.interprocedural) for r in taint.traces(df, across=taint.call_edges(df, cs, en, rt), **kw).collect()}
+def fact(i, kind, fn, line, ins=(), outs=(), op="", file="f", args=None, by=None, meta=None):
+    return (i, kind, op, file, fn, line, 1, list(ins), list(outs), args, by, meta)
+
+
+def run(spark, rows, functions=(), **kw):
+    fn = spark.createDataFrame([(f[0], f[1], list(f[2]), f[3]) for f in functions], "file string, name string, parameters array<string>, start_line int")
+    found = taint.traces(spark.createDataFrame(rows, WIDE), fn, **kw).collect()
+    return {(r.source_id, r.sink_id, r.interprocedural, tuple(r.path)) for r in found}
 
 
 def test_taint_passes_into_callees_and_back(spark):
-    src, sink = (1, "source", "m", 1, None, "id"), (2, "sink", "g", 5, "p", None)
-    run = across(spark, [src, sink], [(10, "m", 2, "g", ["id"], None)], [(20, "g", 0, "p")])
-    assert run() == {(1, 2, True)} and run(max_depth=0) == set()
-    lit_first = across(spark, [src, sink], [(10, "m", 2, "g", [None, "id"], None)], [(20, "g", 1, "p")])
-    assert lit_first() == set()
-    far = across(spark, [src, sink], [(10, "m", 2, "g", ["id"], None, True)], [(20, "g", 0, "p")])
-    assert far() == set()
-    back = across(spark, [src, (2, "sink", "m", 3, "r", None)], [(10, "m", 2, "same", ["id"], "r")], [(20, "same", 0, "p")], [("same", 0)])
-    assert back() == {(1, 2, True)}
-    two = across(spark, [src, (2, "sink", "m", 4, "r2", None)], [(10, "m", 2, "same", ["id"], "r"), (11, "m", 3, "same", ["r"], "r2")], [(20, "same", 0, "p")], [("same", 0)])
-    assert two(max_depth=1) == set() and two(max_depth=2) == {(1, 2, True)}
-    wrong = across(spark, [src, sink], [(10, "m", 2, "g", ["other"], None)], [(20, "g", 0, "p")])
-    assert wrong() == set()
+    src, sink = fact("ab01", "source", "m", 1, outs=["id"]), fact("cd02", "sink", "g", 15, ["p"])
+    g = ("f", "g", ["p"], 10)
+    call = lambda **kw: fact("c", "call", "m", 2, ["id"], op="pkg.g", **kw)
+    want = {("ab01", "cd02", True, ())}
+    assert run(spark, [src, sink, call(by=[["id"]])], [g]) == want
+    assert run(spark, [src, sink, call(by=[["id"]])], [g], max_depth=0) == set()
+    assert run(spark, [src, sink, call(args=["lit", " id "])], [("f", "g", ["q", "p"], 10)]) == want  # positions from the arguments' text
+    assert run(spark, [src, sink, call(by=[[], ["id"]])], [("f", "g", ["q", "p"], 10)]) == set()  # stops at the first argument without symbols
+    assert run(spark, [src, sink, call(by=[["id"]], meta={"external_import": "true"})], [g]) == set()
+    assert run(spark, [src, sink, call(by=[["id"]])], [g, ("h", "g", ["p"], 1), ("f", "g", ["p"], 40)]) == set()  # ambiguous
+    other = fact("cd02", "sink", "g", 15, ["p"], file="h")
+    assert run(spark, [src, other, call(by=[["id"]])], [("h", "g", ["p"], 10)]) == want  # unique in another file
+
+
+def test_calls_return_taint_only_through_parameters_that_reach_a_return(spark):
+    src = fact("s", "source", "m", 1, outs=["a"])
+    body = [fact("r1", "propagation", "same", 11, ["v"], ["w"]), fact("r2", "return", "same", 12, ["w"])]
+    hop = lambda i, line, a, b: fact(i, "propagation", "m", line, [a], [b], op="same", by=[[a]])
+    fns = [("f", "same", ["v"], 10), ("f", "m", [], 1)]
+    one = [src, *body, hop("p1", 2, "a", "b"), fact("k", "sink", "m", 3, ["b"])]
+    assert run(spark, one, fns) == {("s", "k", True, ("p1",))}
+    two = [src, *body, hop("p1", 2, "a", "b"), hop("p2", 3, "b", "c"), fact("k", "sink", "m", 4, ["c"])]
+    assert run(spark, two, fns, max_depth=1) == set() and run(spark, two, fns, max_depth=2) == {("s", "k", True, ("p1", "p2"))}
+    drops = [src, fact("r2", "return", "same", 12, ["w"]), hop("p1", 2, "a", "b"), fact("k", "sink", "m", 3, ["b"])]
+    assert run(spark, drops, fns) == set()
+    assert run(spark, [src, hop("p1", 2, "a", "b"), fact("k", "sink", "m", 3, ["b"])]) == {("s", "k", False, ("p1",))}  # a name outside the tree is a local step
+
+
+def test_conditional_kills_several_inputs_files_and_limits(spark):
+    src = fact("s", "source", "m", 1, outs=["a"])
+    assert run(spark, [src, fact("q", "propagation", "m", 2, [], ["a"], meta={"conditional": "true"}), fact("k", "sink", "m", 3, ["a"])]) == {("s", "k", False, ())}
+    assert run(spark, [src, fact("p", "propagation", "m", 2, ["clean", "a"], ["b", "c"]), fact("k", "sink", "m", 3, ["x", "c"])]) == {("s", "k", False, ("p",))}
+    assert run(spark, [src, fact("k", "sink", "m", 3, ["a"], file="other")]) == set()
+    assert run(spark, [src, fact("p", "propagation", "m", 2, ["a"], ["b"]), fact("q", "propagation", "m", 3, ["b"], ["c"]), fact("k", "sink", "m", 4, ["c"])], max_steps=1) == set()
+    assert run(spark, [src, fact(None, "sink", "m", 3, [None]), fact("k", None, None, None)]) == set()
 
 
 def test_grades(spark):

@@ -91,3 +91,22 @@ def test_sarif_document(spark):
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["R1", "R2"] and run["tool"]["driver"]["rules"][0]["defaultConfiguration"]["level"] == "error"
     assert [r["message"]["text"] for r in run["results"]] == ["one", "later", "two"]
     assert run["results"][1]["codeFlows"][0]["threadFlows"][0]["locations"][0]["location"]["message"]["text"] == "m"
+
+
+def test_text_limits(spark):
+    assert one(spark, T.limit_lines(F.col("v"), 2), v="a\nb\nc") == "a\nb\n…<TRUNCATED>" and one(spark, T.limit_lines(F.col("v"), 3), v="a\nb\nc") == "a\nb\nc" and one(spark, T.limit_lines(F.col("v"), 0), v="a") == ""
+    ex = lambda a, b, n: one(spark, T.excerpt(F.col("v"), F.lit(a), F.lit(b), n), v="1\n2\n3\n4")
+    assert (ex(2, 3, 9), ex(3, 1, 9), ex(-4, 2, 9), ex(1, 4, 2), ex(9, 9, 9), ex(1, 2, 0)) == ("2\n3", "3", "1\n2", "1\n2", "", "")
+    assert one(spark, T.truncate_bytes(F.col("v"), 5), v="abcdef") == "abcde…" and one(spark, T.truncate_bytes(F.col("v"), 3), v="aéé") == "aé…" and one(spark, T.truncate_bytes(F.col("v"), 2), v="aéé") == "a…"
+    assert one(spark, T.tokens_by_class(F.col("v")), v="a b c, d! (x)") == 13 and one(spark, T.tokens_by_class(F.col("v")), v="abcdefgh") == 4 and one(spark, T.tokens_by_class(F.col("v")), v="éé") == 4
+    assert one(spark, T.line_count(F.col("v")), v="") == 0 and one(spark, T.line_count(F.col("v")), v="a\n") == 2
+
+
+def test_stage_coverage(spark):
+    from quarry.operators.coverage import analyzed_languages, language_coverage, parse_failures, stage_coverage
+
+    df = spark.createDataFrame([("Go", True, True, False), ("Go", False, True, True), ("Go", None, None, None), ("Lua", None, None, None)], "language string, parse boolean, structural boolean, semantic boolean")
+    got = {(r.language, r.stage): (r.files, r.supported, r.attempted, r.succeeded) for r in stage_coverage(df, []).collect()}
+    assert got[("Go", "parse")] == (3, 3, 2, 1) and got[("Go", "structural")] == (3, 3, 1, 1) and got[("Go", "semantic")] == (3, 3, 1, 0) and got[("Lua", "parse")] == (1, 0, 0, 0)
+    cov = language_coverage(df.withColumnRenamed("parse", "parsed"), [])
+    assert parse_failures(cov, []).first()[0] == 1 and analyzed_languages(cov, []).first()[0] == 1

@@ -71,18 +71,45 @@ def test_filters_reject_unknown_values(spark):
 
 
 def test_review_plan_keeps_its_budgets_and_marks_the_rest(spark):
-    rows = [(1, f"f{i:03}", f"r{i % 3}", i + 1, 500, i % 10 != 9) for i in range(600)]
-    df = spark.createDataFrame(rows, "k int, id string, rule_id string, place int, tokens int, enough boolean")
-    out = review.plan(df, "k").collect()
-    chosen = [r for r in out if r.batch is not None]
-    assert len(out) == 600 and len({r.id for r in out}) == 600
-    assert len(chosen) <= 40 and max(r.batch for r in chosen) <= 6
-    assert sum(r.skip == "CONTEXT_INSUFFICIENT" for r in out) == 60
-    per = {}
-    for r in chosen:
-        per[r.id[-1]] = 1
-    rules = {i: r for _, i, r, *_ in rows}
-    assert max(sum(rules[c.id] == r for c in chosen) for r in ("r0", "r1", "r2")) <= 10
+    rows = [(1, f"f{i:03}", f"r{i % 30}", i + 1, 500, i % 10 != 9, True, True) for i in range(600)]
+    rows += [(1, "static", "r0", 700, 1, True, False, True), (1, "dull", "r0", 701, 1, True, True, False), (2, "large", "r0", 1, 8_000, True, True, True), (2, "fits", "r0", 2, 7_968, True, True, True)]
+    df = spark.createDataFrame(rows, "k int, id string, rule_id string, place int, tokens int, enough boolean, contextual boolean, eligible boolean")
+    out = {r.id: r for r in review.plan(df, "k").collect()}
+    chosen = [r for r in out.values() if r.batch is not None and r.k == 1]
+    assert len(out) == len(rows) and len(chosen) == 30 and max(r.batch for r in chosen) == 6  # five a batch by the output budget, six requests
+    assert out["static"].skip == out["dull"].skip == "NOT_ELIGIBLE" and out["f009"].skip == "CONTEXT_INSUFFICIENT" and out["f599"].skip == "CONTEXT_INSUFFICIENT" and out["f598"].skip == "BUDGET_EXHAUSTED"
+    assert out["large"].skip == "CONTEXT_INSUFFICIENT" and out["fits"].batch == 1
+    assert {r.skip for r in review.plan(df, "k", mode="off").collect()} == {"NOT_ELIGIBLE", "USER_DISABLED"}
+
+
+def test_review_plan_caps_a_rule_as_not_eligible(spark):
+    rows = [(1, f"f{i:03}", "r", i, 10, True) for i in range(30)]
+    out = review.plan(spark.createDataFrame(rows, "k int, id string, rule_id string, place int, tokens int, enough boolean"), "k").collect()
+    assert sum(r.batch is not None for r in out) == 10 and sum(r.skip == "NOT_ELIGIBLE" for r in out) == 20
+    assert review.budgets({"findings": 0, "input": -5, "output": 7}) == review.BUDGET | {"output": 7}
+
+
+def test_gate_takes_decisions_as_they_are_valid(spark):
+    cand = spark.createDataFrame([(x, "CONTEXT_REQUIRED", "High", 0.8) for x in ("known", "rejected", "noseverity", "nostatus", "static", "noreason", "higher", "nan")] + [("fixed", "STATIC_AUTHORITATIVE", "High", 0.8), ("odd", "CONTEXT_REQUIRED", "huge", 0.8)], "id string, review_policy string, severity string, confidence double")
+    dec = spark.createDataFrame(
+        [("known", "DOWNGRADED", "AI", "Low", 0.5, "r"), ("rejected", "REJECTED", "AI", "Low", 0.5, "r"), ("noseverity", "CONFIRMED", "AI", "", 0.5, "r"), ("nostatus", "", "AI", "Low", 0.5, ""), ("static", "CONFIRMED", "STATIC", "Low", 0.5, "r"), ("noreason", "CONFIRMED", "AI", "Low", 0.5, " "), ("higher", "CONFIRMED", "AI", "Critical", 0.9, "r"), ("nan", "UNSUPPORTED", "AI", "Low", float("nan"), "r")],
+        "finding_id string, status string, source string, severity string, confidence double, reason string",
+    )
+    got = {r.id: (r.status, r.source, r.final_severity, r.final_confidence) for r in ops.gate(cand, dec).collect()}
+    assert got == {
+        "known": ("DOWNGRADED", "AI", "Low", 0.5), "rejected": ("UNCERTAIN", "AI", "High", 0.8), "noseverity": ("CONFIRMED", "AI", "High", 0.5), "nostatus": ("NOT_REVIEWED", "AI", "Low", 0.5),
+        "static": ("UNCERTAIN", "STATIC", "High", 0.8), "noreason": ("UNCERTAIN", "AI", "High", 0.8), "higher": ("CONFIRMED", "AI", "High", 0.8), "nan": ("UNCERTAIN", "AI", "High", 0.8),
+        "fixed": ("CONFIRMED", "STATIC", "High", 0.8), "odd": ("UNCERTAIN", None, "huge", 0.8),
+    }
+
+
+def test_presentation_states(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5, 0, False, 5, True), (0, 0, False, 0, False), (5, 5, False, 0, False), (5, 3, False, 2, False), (5, 0, True, 5, False), (5, 0, False, 5, False), (5, 5, True, 0, False)]
+    df = spark.createDataFrame(rows, "c int, done int, failed boolean, left int, off boolean")
+    got = [r[0] for r in df.select(ops.presentation_state(F.col("c"), F.col("done"), F.col("failed"), F.col("left"), F.col("off"))).collect()]
+    assert got == ["disabled", "unnecessary", "complete", "partial", "unavailable", "partial", "partial"]
 
 
 def test_cited_evidence(spark):
