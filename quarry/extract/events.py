@@ -57,6 +57,16 @@ class Control:
     text: str
 
 
+@dataclass
+class Start:
+    """A goroutine is started."""
+
+    text: str
+    place: Place
+    loops: list[str]  # the heads of the loops around it, outermost first
+    inputs: list[str]
+
+
 @dataclass
 class Function:
     name: str
@@ -210,10 +220,15 @@ class _Reader:
             if body >= 0:
                 inner = loop or word in _LOOPS or (self.language == "Rust" and self.t(i + 2) in _LOOPS)
                 before = dict(state)
+                if word == "for":
+                    state["loops"] = [*state.get("loops", []), self.source(i, last)]
                 if word in ("if", "else", "for", "switch", "while", "match", "foreach", "case", "loop", "try"):
                     state["conditional"] = True
-                self.statements(body + 1, self.close[body] - 1, out, inner, state)
-                state["conditional"] = before.get("conditional", False)
+                if go and word in ("go", "defer"):  # a function literal that runs beside or after the loop around it
+                    self.statements(body + 1, self.close[body] - 1, out, False, {**state, "go": word == "go" or state.get("go"), "loops": [], "literal": True})
+                else:
+                    self.statements(body + 1, self.close[body] - 1, out, inner, state)
+                state["conditional"], state["loops"] = before.get("conditional", False), before.get("loops", [])
                 i = self.close[body] + 1
             else:
                 i = max(j, i + 1)
@@ -240,6 +255,8 @@ class _Reader:
         for i in range(a, b + 1):
             if self.tok[i] in ("&&", "||"):
                 out.append(Control("logical-and" if self.tok[i] == "&&" else "logical-or", self.place(i, i), self.tok[i]))
+        if word == "go" and lang == "Go":
+            out.append(Start(self.source(a, b), self.place(a, b), list(state.get("loops", [])), self.names(a, b)))
         if word == "return" or lang == "Rust" and body < 0 and b + 1 == state.get("end") and self.t(b) != ";" and word not in self.words:
             out.append(Return(self.names(a + (word == "return"), b), self.source(a, b), self.place(a, b)))
         eq = self._equals(a, b)
@@ -264,9 +281,10 @@ class _Reader:
                 ends.pop()
             if self.kind[i] == "w" and self.t(i + 1) == "(" and self.tok[i] not in NO_CALL and self.t(i - 1) not in ("func", "fn") and self.tok[i] not in self.words:
                 call, first, last = self.call(i)
-                call.loop, call.inside = loop, [c for _, c in ends]
+                call.loop, call.inside = loop, [*state.get("around", []), *(c for _, c in ends)]
                 call.go, call.deferred = word == "go", word == "defer"
                 call.literal = state.get("literal", False)
+                call.go = call.go or bool(state.get("go"))
                 call.bare = first == a and last == b and eq < 0
                 if assign is not None and (first == eq + 1 or first == eq + 2 and self.t(eq + 1) in ("await", "&", "range")) and assign.call is None:
                     assign.callee, assign.call = call.callee, call
@@ -274,8 +292,9 @@ class _Reader:
                 out.append(call)
                 ends.append((last, call.callee))
             elif self.tok[i] == "{":  # a function literal, a closure or the elements of a literal
-                inner = {"literal": True} | ({"go": True} if word == "go" else {})
-                self.statements(i + 1, self.close[i] - 1, out, loop, inner | {"conditional": state.get("conditional", False)})
+                # A started function runs beside the loop around it, not in it.
+                apart = word in ("go", "defer") and lang == "Go"
+                self.statements(i + 1, self.close[i] - 1, out, loop and not apart, {"literal": True, "go": state.get("go") or word == "go", "conditional": state.get("conditional", False), "loops": [] if apart else state.get("loops", []), "around": [*state.get("around", []), *(c for _, c in ends)]})
                 i = self.close[i]
             i += 1
 
@@ -397,7 +416,7 @@ def _go(text: str) -> Unit | None:
                 unit.functions.append(_function(r, r.t(at), own, i, args, j, extra))
                 i = r.close[j]
         elif t == "type" and r.t(i + 2) == "struct":
-            for m in re.finditer(r"(?m)^\s*(\w+(?:\s*,\s*\w+)*)\s+(\*?[\w.]+)", r.source(i + 3, r.close.get(i + 3, i + 3))):
+            for m in re.finditer(r"(?m)(?:^|[{;])[ \t]*(\w+(?:\s*,\s*\w+)*)[ \t]+(\*?[\w.]+)", r.source(i + 3, r.close.get(i + 3, i + 3))):
                 for x in re.split(r"\s*,\s*", m[1]):
                     unit.fields[x] = m[2]
         elif t == "var" and r.kind[min(i + 2, n - 1)] in "wo" and r.t(i + 1) != "(":

@@ -39,8 +39,9 @@ def wide(facts: DataFrame) -> DataFrame:
         if name not in have:
             out = out.withColumn(name, F.lit(None).cast(kind))
     empty = F.array().cast(_SYMBOLS)
+    repo = F.col("repo").cast("string") if "repo" in have else F.lit("")
     return out.select(
-        "id", "kind", "operation", *PLACE, F.col("start_line").cast("int").alias("line"), F.coalesce(F.col("start_column").cast("int"), F.lit(0)).alias("column"), F.coalesce("inputs", empty).alias("inputs"), F.coalesce("outputs", empty).alias("outputs"), "arguments", "argument_inputs", "metadata"
+        repo.alias("repo"), "id", "kind", "operation", *PLACE, F.col("start_line").cast("int").alias("line"), F.coalesce(F.col("start_column").cast("int"), F.lit(0)).alias("column"), F.coalesce("inputs", empty).alias("inputs"), F.coalesce("outputs", empty).alias("outputs"), "arguments", "argument_inputs", "metadata"
     )
 
 
@@ -55,11 +56,13 @@ def _node(col: str) -> Column:
 def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(call_id, node_id): the function of a call's last selector, unique everywhere, else unique in the caller's file; else none.
 
-    calls: call_id, callee, file. functions: node_id, name, file.
+    calls: call_id, callee, file. functions: node_id, name, file. Where both have
+    `repo`, everywhere means the caller's repository.
     """
-    everywhere = functions.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("g")).filter("n = 1").select("name", "g")
+    keys = ["repo", "name"] if "repo" in calls.columns and "repo" in functions.columns else ["name"]
+    everywhere = functions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("g")).filter("n = 1").select(*keys, "g")
     here = functions.groupBy("name", "file").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("l")).filter("n = 1").select("name", "file", "l")
-    rows = calls.withColumn("name", F.element_at(F.split(F.trim("callee"), r"\."), -1)).join(everywhere, "name", "left").join(here, ["name", "file"], "left")
+    rows = calls.withColumn("name", F.element_at(F.split(F.trim("callee"), r"\."), -1)).join(everywhere, keys, "left").join(here, ["name", "file"], "left")
     return rows.select("call_id", F.coalesce("g", "l").alias("node_id")).filter("node_id is not null")
 
 
@@ -123,10 +126,10 @@ def traces(facts: DataFrame, functions: DataFrame | None = None, max_steps: int
     writes = f.filter("kind in ('source', 'propagation')").select(_node("id").alias("node"), *PLACE, F.explode("outputs").alias("symbol"), "line", "column").filter("symbol is not null")
     reads = f.filter("kind in ('propagation', 'sink')").select(_node("id").alias("next"), "kind", *PLACE, F.explode("inputs").alias("symbol"), "line").filter("symbol is not null").withColumn("deeper", F.lit(0))
     if functions is not None:
-        fn = functions.select("file", "name", F.coalesce("parameters", F.array().cast(_SYMBOLS)).alias("parameters"), F.col("start_line").cast("int").alias("start_line"))
+        fn = functions.select((F.col("repo").cast("string") if "repo" in functions.columns else F.lit("")).alias("repo"), "file", "name", F.coalesce("parameters", F.array().cast(_SYMBOLS)).alias("parameters"), F.col("start_line").cast("int").alias("start_line"))
         fn = fn.withColumn("node_id", F.concat_ws("\0", "file", "name", F.col("start_line").cast("string"))).dropDuplicates(["node_id"])
         params = fn.select("node_id", "file", F.col("name").alias("function"), "start_line", F.posexplode("parameters").alias("position", "symbol"))
-        called = resolve(f.filter(F.col("kind").isin("call", "propagation") & ~_flag("external_import")).select(F.col("id").alias("call_id"), "kind", "file", F.col("operation").alias("callee")), fn.select("node_id", "file", "name"))
+        called = resolve(f.filter(F.col("kind").isin("call", "propagation") & ~_flag("external_import")).select("repo", F.col("id").alias("call_id"), "kind", "file", F.col("operation").alias("callee")), fn.select("repo", "node_id", "file", "name"))
         called = materialize(called.select(F.col("call_id").alias("id"), "node_id"), "calls")
         entry = F.concat(F.lit("e:"), F.col("node_id"), F.lit("\0"), F.col("position").cast("string"))
         entries = params.select(entry.alias("node"), "file", "function", "symbol", F.col("start_line").alias("line"), F.lit(0).alias("column"))

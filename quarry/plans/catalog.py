@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import core_facts, core_files, core_findings, core_structure
+from quarry.plans import core_facts, core_files, core_findings, core_rules, core_structure
 from quarry.plans.p2 import p2_found, p2_tables
 
-_PARTS = [core_findings, core_facts, core_files, core_structure]
+_PARTS = [core_findings, core_facts, core_files, core_structure, core_rules]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_tables": p2_tables}
 ORACLE: dict[str, str] = {}
