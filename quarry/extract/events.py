@@ -398,7 +398,7 @@ def _go(text: str) -> Unit | None:
                     unit.imports[alias] = path
                     if r.t(i + 1) != "(":
                         break
-            i = b if r.t(i + 1) == "(" else i + 2
+            i = b if r.t(i + 1) == "(" else i + 1 if r.kind[min(i + 1, n - 1)] == "s" else i + 2
         elif t == "func":
             at, own, extra = i + 1, "", []
             if r.t(at) == "(":

@@ -479,6 +479,29 @@ def _cs(f: _Facts) -> None:
                     f.called(e, method)
 
 
+def symbols(unit: Unit) -> list[tuple[str, str, int]]:
+    """(kind, name, line) of the variables, constants and packages that a file declares."""
+    text, out = unit.text, []
+    line = lambda at: text.count("\n", 0, at) + 1
+    if unit.language == "Go":
+        if m := re.search(r"(?m)^package\s+(\w+)", text):
+            out.append(("Package", m[1], line(m.start())))
+        for m in re.finditer(r"(?m)^[ \t]*(var|const)\s+(\w+)", text):
+            out.append(("Variable" if m[1] == "var" else "Constant", m[2], line(m.start(1))))
+        for m in re.finditer(r"(?m)^(var|const)\s*\(\n(.*?)^\)", text, re.S):
+            for x in re.finditer(r"(?m)^\t(\w+)", m[2]):
+                out.append(("Variable" if m[1] == "var" else "Constant", x[1], line(m.start(2) + x.start(1))))
+    elif unit.language == "Python":
+        out += [("Variable", o, e.place[0]) for fn in unit.functions if not fn.name for e in fn.events if isinstance(e, Assign) for o in e.outputs]
+    elif unit.language == "Rust":
+        out += [("Constant" if m[1] == "const" else "Variable", m[2], line(m.start(1))) for m in re.finditer(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(const|static)\s+(?:mut\s+)?(\w+)\s*:", text)]
+        out += [("Variable", o, e.place[0]) for fn in unit.functions for e in fn.events if isinstance(e, Assign) and e.text.startswith("let") for o in e.outputs]
+    else:
+        out += [("Variable", m[1], line(m.start(1))) for m in re.finditer(r"\b[A-Za-z_][\w<>\[\],?.]*\s+([A-Za-z_]\w*)\s*\{\s*(?:get|set|init)\b", text)]
+        out += [("Variable", o, e.place[0]) for fn in unit.functions for e in fn.events if isinstance(e, Assign) and len(e.text.split("=")[0].split()) > 1 for o in e.outputs]
+    return sorted(set(out), key=lambda x: (x[2], x[1], x[0]))
+
+
 _RULES = {"Go": _go, "Python": _py, "Rust": _rust, "C#": _cs}
 
 
@@ -497,7 +520,8 @@ def semantic_facts(files: DataFrame, key: str = "file_id", path: str = "path", l
 
     A row of kind `function` (operation and function: its name; arguments: its
     parameters) comes for each function, one of kind `import` (operation: the
-    path, expression: the alias) for each import. Files that cannot be read,
+    path, expression: the alias) for each import, one of kind `symbol`
+    (operation: the name, expression: its kind) for each declaration. Files that cannot be read,
     null contents and other languages give no row.
     """
     key_type = files.schema[key].dataType.simpleString()
@@ -518,6 +542,7 @@ def semantic_facts(files: DataFrame, key: str = "file_id", path: str = "path", l
                 own, unit = found
                 own = own + [(fact_id("function", fn.name, file or "", *fn.place[:2]), "function", fn.name, file, fn.name, fn.receiver, fn.head, *fn.place, [p[0] for p in fn.params], [], [], [], {}) for fn in unit.functions if fn.name]
                 own = own + [(fact_id("import", p, file or "", 0, n), "import", p, file, "", "", a, 0, 0, 0, 0, [], [], [], [], {}) for n, (a, p) in enumerate(sorted(unit.imports.items()))]
+                own = own + [(fact_id("symbol", f"{k}:{x}", file or "", n, 0), "symbol", x, file, "", "", k, n, 0, n, 0, [], [], [], [], {}) for k, x, n in symbols(unit)]
                 rows += own
                 take += [i] * len(own)
                 if len(rows) > 20_000:

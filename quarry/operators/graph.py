@@ -114,3 +114,66 @@ def most_called(edges: DataFrame, n: int = 10) -> DataFrame:
 def edge_ids(edges: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Deterministic ids e1, e2, ... within a repository, by the order of its call sites."""
     return edges.withColumn("edge_id", F.concat(F.lit("e"), F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("string")))
+
+
+def build(files: DataFrame, functions: DataFrame, types: DataFrame, imports: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a code graph, without its call edges.
+
+    files: file. functions: file, name, receiver, start_line, end_line. types:
+    file, name, start_line, end_line. imports: file, path, alias. symbols: file,
+    name, kind. A node's id is the file, `file:name` or `file:Receiver.name`,
+    `import:file:path` or `Kind:file:name`; of several nodes of one id the one
+    added last stays, in the order given here, and all edges stay. Null files
+    and names give none.
+    """
+    none = F.lit(None).cast("string")
+    span = lambda df: (F.col("start_line").cast("int"), F.col("end_line").cast("int")) if "start_line" in df.columns else (F.lit(None).cast("int"), F.lit(None).cast("int"))
+
+    def rows(df: DataFrame, seq: int, node: Column, kind: Column, name: Column, edge: str | None) -> DataFrame:
+        a, b = span(df)
+        return df.filter("file is not null").select(F.lit(seq).alias("seq"), node.alias("id"), kind.alias("kind"), name.alias("name"), "file", a.alias("start_line"), b.alias("end_line"), (F.lit(edge) if edge else none).alias("edge"))
+
+    own = F.when(F.coalesce("receiver", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws(".", canonical(F.col("receiver")), "name"))
+    parts = [
+        rows(files, 0, F.col("file"), F.lit("File"), F.col("file"), None),
+        rows(functions.filter("name is not null"), 1, F.concat_ws(":", "file", own), F.when(F.coalesce("receiver", F.lit("")) == "", "Function").otherwise("Method"), F.col("name"), "Contains"),
+        rows(types.filter("name is not null"), 2, F.concat_ws(":", "file", "name"), F.lit("Type"), F.col("name"), "Contains"),
+        rows(imports.filter("path is not null"), 3, F.concat_ws(":", F.lit("import"), "file", "path"), F.lit("Import"), F.when(F.coalesce("alias", F.lit("")).isin("") | (F.col("alias") == F.col("path")), F.col("path")).otherwise(F.concat_ws(":", "alias", "path")), "Imports"),
+        rows(symbols.filter("name is not null and kind not in ('Function', 'Type', 'File')"), 4, F.concat_ws(":", "kind", "file", "name"), F.col("kind"), F.col("name"), "Contains"),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    nodes = every.groupBy("id").agg(F.max_by(F.struct("kind", "name", "file", "start_line", "end_line"), F.struct("seq", F.coalesce("start_line", F.lit(0)))).alias("n")).select("id", "n.*")
+    edges = every.filter("edge is not null").select(F.col("edge").alias("kind"), F.col("file").alias("src"), F.col("id").alias("dst"))
+    return nodes, edges
+
+
+def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
+    """Nodes of one kind, by id."""
+    return nodes.filter(F.col("kind") == kind)
+
+
+def relations(edges: DataFrame, starts: DataFrame, depth: int, most: int, reverse: bool = False) -> DataFrame:
+    """(start, node, rank): at most `most` nodes within `depth` calls of each start, nearer ones first, of equally near ones by id."""
+    near = reach(edges, starts, depth, reverse)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("distance", "node"))).filter(F.col("rank") <= most).select("start", "node", "rank")
+
+
+def find_symbols(nodes: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
+    """(key, node...) of the nodes named, in the order file, line, name, id; at most `most` for each key. names: key, name."""
+    met = nodes.join(names.distinct(), "name")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("file", "start_line", "name", "id"))).filter(F.col("rank") <= most)
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, functions with methods, types, files."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind").isin("Function", "Method")).alias("functions"), F.count_if(F.col("kind") == "Type").alias("types"), F.count_if(F.col("kind") == "File").alias("files"))
+    return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+
+
+def ordered_calls(calls: DataFrame, group: list[str], start: Column | int = 0) -> DataFrame:
+    """Call edges with ids e<N> in the order file, line, caller's receiver, caller, callee's receiver, callee; N goes on after `start`."""
+    keys = [F.col(c).asc_nulls_first() for c in ("file", "line", "caller_receiver", "caller", "callee_receiver", "callee")]
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*keys)) + start
+    return calls.withColumn("edge_id", F.concat(F.lit("e"), n.cast("string")))

@@ -135,7 +135,7 @@ class Context:
         self.spark: SparkSession = facts.sparkSession
         facts = facts if "repo" in facts.columns else facts.withColumn("repo", F.lit(""))
         self.all = materialize(facts.withColumn("at", F.struct(F.col("start_line").alias("line"), F.col("start_column").alias("column"))), "facts")
-        self.facts = self.all.filter("kind not in ('function', 'import')")
+        self.facts = self.all.filter("kind not in ('function', 'import', 'symbol')")
         self.functions = self.all.filter("kind = 'function'").select("repo", "file", F.col("operation").alias("name"), F.col("arguments").alias("parameters"), "start_line", "end_line", F.col("expression").alias("head"), "receiver")
         self.imports = self.all.filter("kind = 'import'").select("repo", "file", F.col("operation").alias("path"))
         self._traces: DataFrame | None = None
