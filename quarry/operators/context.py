@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import excerpt
+from quarry.session import materialize
 
 # The kind of evidence a kind of fact is shown as, any other is a symbol; how long a kind is kept; limits of a packet.
 EVIDENCE_KINDS = {
@@ -58,7 +59,7 @@ def evidence(findings: DataFrame, files: DataFrame, facts: DataFrame, functions:
     lim = LIMITS | (limits or {})
     f = findings.filter("file is not null and start_line > 0").select("finding_id", "rule_id", "file", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), "steps", "symbols")
     seen = f.join(files.filter("content is not null and content <> ''").select("file", "content"), "file").filter(F.col("start_line") <= F.size(F.split("content", "\n")))
-    seen = innermost_function(seen, functions)
+    seen = materialize(innermost_function(seen, functions), "findings")
     true, false = F.lit(True), F.lit(False)
     head = F.least(F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)), F.lit(lim["primary_lines"]))
     primary = _items(seen, 0, F.lit("primary"), excerpt(F.col("content"), F.col("start_line"), F.col("end_line"), lim["primary_lines"]), true, F.lit(0))

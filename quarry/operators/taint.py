@@ -128,6 +128,7 @@ def traces(facts: DataFrame, functions: DataFrame | None = None, max_steps: int
     if functions is not None:
         fn = functions.select((F.col("repo").cast("string") if "repo" in functions.columns else F.lit("")).alias("repo"), "file", "name", F.coalesce("parameters", F.array().cast(_SYMBOLS)).alias("parameters"), F.col("start_line").cast("int").alias("start_line"))
         fn = fn.withColumn("node_id", F.concat_ws("\0", "file", "name", F.col("start_line").cast("string"))).dropDuplicates(["node_id"])
+        fn = materialize(fn, "functions")
         params = fn.select("node_id", "file", F.col("name").alias("function"), "start_line", F.posexplode("parameters").alias("position", "symbol"))
         called = resolve(f.filter(F.col("kind").isin("call", "propagation") & ~_flag("external_import")).select("repo", F.col("id").alias("call_id"), "kind", "file", F.col("operation").alias("callee")), fn.select("repo", "node_id", "file", "name"))
         called = materialize(called.select(F.col("call_id").alias("id"), "node_id"), "calls")
@@ -140,7 +141,7 @@ def traces(facts: DataFrame, functions: DataFrame | None = None, max_steps: int
         flows = prop.select(own.alias("function"), F.explode("inputs").alias("src"), "outputs").select("function", "src", F.explode("outputs").alias("dst")).distinct()
         returns = f.filter("kind = 'return'").select(own.alias("function"), F.explode("inputs").alias("symbol")).distinct()
         deps = return_dependencies(flows, params.select(F.concat_ws("\0", "file", "function").alias("function"), "symbol", "position"), returns, 4)
-        deps = deps.join(fn.select(F.concat_ws("\0", "file", "name").alias("function"), "node_id"), "function").select("node_id", "position")
+        deps = materialize(deps, "returns").join(fn.select(F.concat_ws("\0", "file", "name").alias("function"), "node_id"), "function").select("node_id", "position")
         local = prop.join(called, "id", "left_semi").select("id")
         back = _arguments(prop).join(called, "id").join(deps, ["node_id", "position"], "left_semi")
         reads_back = back.select(_node("id").alias("next"), F.lit("propagation").alias("kind"), *PLACE, "symbol", "line", F.lit(1).alias("deeper"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import findings as ops
 from quarry.operators import scoring
+from quarry.session import materialize
 from quarry.tables import table
 
 # The findings as `normalise` leaves them, in SQL.
@@ -91,7 +92,8 @@ def a2_overall_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a3_scoped_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = gated(spark, folder)
+    kept = ["repo_id", "category", "rule_id", "severity", "confidence", "final_severity", "final_confidence", "accepted", "review_policy", "status"]
+    rows = materialize(gated(spark, folder).select(*kept), "gated")  # gated once, read by both scopes
     finals = rows.filter("accepted").withColumn("severity", F.col("final_severity")).withColumn("confidence", F.col("final_confidence"))
     return scoring.scoped_scores(rows, finals, ["repo_id"]).select("repo_id", "scope", "available", F.round("overall", 6).alias("overall"))
 

@@ -24,6 +24,11 @@ def source_facts(spark: SparkSession, folder: str) -> DataFrame:
     return semantic_facts(files, path="whole").join(files.select("file_id", F.col("repo_id").cast("string").alias("repo")), "file_id")
 
 
+def written_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """`source_facts` read once and written, for plans that look at them more than once."""
+    return materialize(source_facts(spark, folder), "facts")
+
+
 def x8_facts(spark: SparkSession, folder: str) -> DataFrame:
     return source_facts(spark, folder).filter("kind not in ('function', 'import', 'symbol')").select("file_id", "id", "kind", "operation", "function", "start_line", "start_column", F.array_join("inputs", ",").alias("inputs"), F.array_join("outputs", ",").alias("outputs"))
 
@@ -38,7 +43,7 @@ def i2_fact_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def d2_source_traces(spark: SparkSession, folder: str) -> DataFrame:
     """Traces over the facts of source files, calls followed within each repository."""
-    facts = source_facts(spark, folder)
+    facts = written_facts(spark, folder)
     functions = facts.filter("kind = 'function'").select("repo", "file", F.col("operation").alias("name"), F.col("arguments").alias("parameters"), "start_line")
     return taint.graded(taint.traces(facts.filter("kind not in ('function', 'import', 'symbol')"), functions)).select("source_id", "sink_id", "steps", "interprocedural", "confidence", "strength")
 
@@ -51,13 +56,13 @@ def e3_ecosystems(spark: SparkSession, folder: str) -> DataFrame:
 
 def e4_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of the whole catalogue over all files."""
-    found = rules.run(source_facts(spark, folder))
+    found = rules.run(written_facts(spark, folder))
     return found.select("repo", "rule_id", "category", "severity", "title", "file", "start_line", "end_line", "confidence", "strength", F.array_join("call_chain", " > ").alias("call_chain"), F.size("steps").alias("steps"))
 
 
-def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and resolved calls of all files; ids begin with the file's id."""
-    facts = source_facts(spark, folder)
+    facts = written_facts(spark, folder) if facts is None else facts
     named = lambda kind: facts.filter(F.col("kind") == kind)
     files = facts.select("file").distinct()
     functions = named("function").select("file", F.col("operation").alias("name"), "receiver", "start_line", "end_line")
@@ -93,12 +98,13 @@ def q5_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def c1_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of the findings of the catalogue over all files."""
-    facts = source_facts(spark, folder)
+    facts = written_facts(spark, folder)
     found = rules.run(facts).withColumn("finding_id", F.substring(F.sha2(F.concat_ws("\0", "rule_id", "file", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "title", "snippet"), 256), 1, 16)).dropDuplicates(["finding_id"])
     found = materialize(found.select("finding_id", "rule_id", "file", "start_line", "end_line", "steps", "symbols"), "findings")
     files = table(spark, folder, "files").dropDuplicates(["file_id"]).select(F.concat_ws(":", F.col("file_id").cast("string"), "path").alias("file"), "content")
     functions = facts.filter("kind = 'function'").select("repo", "file", F.col("operation").alias("name"), F.col("arguments").alias("parameters"), "start_line", "end_line")
-    nodes, _, calls = _graph(spark, folder)
+    nodes, _, calls = _graph(spark, folder, facts)
+    nodes, calls = materialize(nodes, "nodes"), materialize(calls, "calls")
     place = nodes.filter("kind in ('Function', 'Method')").select(F.col("id").alias("node"), "name", "kind", "file", "start_line", "end_line")
     e = calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
     wanted = found.select("file").distinct().join(place, "file").select(F.col("node").alias("start"), "file", F.col("name").alias("fn"))
