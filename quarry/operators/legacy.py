@@ -36,3 +36,27 @@ def nil_dereference(lines: DataFrame) -> DataFrame:
     check = F.transform("after", lambda x: x.contains("err != nil") | x.contains("err == nil"))
     first = lambda a: F.array_position(a, True)
     return rows.filter((first(use) > 0) & ((first(check) == 0) | (first(use) < first(check)))).select("file_id", "n", F.col("v").alias("symbol"))
+
+
+def in_loops(lines: DataFrame) -> DataFrame:
+    """The lines with `plain`, without literals and comments, `depth`, the braces open before the line, and `inside`, whether a loop's are among them.
+
+    lines: file_id, n, line. A loop's head is a `for` whose line ends with its brace.
+    """
+    w = Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    plain = F.regexp_replace("line", "\"[^\"]*\"|'[^']*'|`[^`]*`|//.*$", "")
+    opened, closed = F.length(F.regexp_replace(plain, r"[^{]", "")), F.length(F.regexp_replace(plain, r"[^}]", ""))
+    rows = lines.withColumn("depth", F.coalesce(F.sum(opened - closed).over(w), F.lit(0)))
+    rows = rows.withColumn("loop", F.when(plain.rlike(r"^\s*for\b.*\{\s*$"), F.col("depth"))).withColumn("plain", plain)
+    rows = rows.withColumn("at", F.last("loop", ignorenulls=True).over(w))
+    return rows.withColumn("inside", F.coalesce(F.col("depth") > F.col("at"), F.lit(False))).drop("loop", "at")
+
+
+def leaks(lines: DataFrame) -> DataFrame:
+    """(file_id, n, leak): timers and goroutines started in loops, and contexts whose cancel function no line of the file calls."""
+    rows = in_loops(lines)
+    timer = rows.filter(F.col("inside") & F.col("plain").rlike(r"\btime\.After\(")).select("file_id", "n", F.lit("timer").alias("leak"))
+    started = rows.filter(F.col("inside") & F.col("plain").rlike(r"\bgo\s+(?:func|[\w.]+\s*\()")).select("file_id", "n", F.lit("goroutine").alias("leak"))
+    made = rows.withColumn("name", F.regexp_extract("plain", r"(\w+)\s*:?=\s*context\.With(?:Cancel|Timeout|Deadline)\w*\(", 1)).filter("name not in ('', '_')")
+    called = rows.select("file_id", F.explode(F.regexp_extract_all("plain", F.lit(r"(\w+)\(\)"), F.lit(1))).alias("name")).distinct()
+    return timer.unionByName(started).unionByName(made.join(called, ["file_id", "name"], "left_anti").select("file_id", "n", F.lit("context").alias("leak")))

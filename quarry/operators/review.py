@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import CREDENTIAL_VALUE, CREDENTIALS
+
 # Budgets of a scan's review, the size of a batch, and the estimate's constants.
 BUDGET = {"findings": 40, "requests": 6, "input": 60_000, "output": 16_000}
 BATCH_INPUT, BATCH_OUTPUT = 8_000, 2_048
@@ -107,3 +111,29 @@ def cited_evidence(answers: DataFrame, offered: DataFrame) -> DataFrame:
     valid = F.array_intersect("cited", have)
     invented = F.size(F.array_except("cited", have)) > 0
     return rows.withColumn("valid_ids", valid).withColumn("accepted", ~F.col("decisive") | ((F.size(valid) > 0) & ~invented)).drop("offered")
+
+
+def redact_batches(items: DataFrame, group: str, key: str, texts: list[str]) -> DataFrame:
+    """The items with the credentials of their texts replaced by `<REDACTED_SECRET_n>`, equal ones of a batch by the same mark.
+
+    Numbers go by first appearance in the order of `key` and of `texts`. A
+    batch is one request, small by its budget, and is read in one piece. Null
+    texts stay null.
+    """
+    patterns = [re.compile(CREDENTIAL_VALUE), *map(re.compile, CREDENTIALS)]
+
+    def clean(batch: pd.DataFrame) -> pd.DataFrame:
+        marks: dict[str, str] = {}
+        mark = lambda secret: marks.setdefault(secret, f"<REDACTED_SECRET_{len(marks) + 1}>")
+        out = batch.sort_values(key, kind="stable").copy()
+        for i in out.index:
+            for c in texts:
+                text = out.at[i, c]
+                if isinstance(text, str):
+                    text = patterns[0].sub(lambda m: m[1] + mark(m[2]) + m[3], text)
+                    for p in patterns[1:]:
+                        text = p.sub(lambda m: m[0] if m[0] in marks.values() else mark(m[0]), text)
+                    out.at[i, c] = text
+        return out
+
+    return items.groupBy(group).applyInPandas(clean, items.schema)

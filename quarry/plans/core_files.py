@@ -185,14 +185,12 @@ def l4_token_complexity(spark: SparkSession, folder: str) -> DataFrame:
 
 def l5_loop_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of a Go file's loops that call a logger: the brace depth of loops, summed over the lines before, is positive."""
-    rows = _lines(spark, folder)
-    plain = F.regexp_replace("line", "\"[^\"]*\"|'[^']*'|`[^`]*`|//.*$", "")
-    opened, closed = F.length(F.regexp_replace(plain, r"[^{]", "")), F.length(F.regexp_replace(plain, r"[^}]", ""))
-    rows = rows.withColumn("depth", F.coalesce(F.sum(opened - closed).over(Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("loop", F.when(plain.rlike(r"^\s*for\b.*\{\s*$"), F.col("depth"))).withColumn("plain", plain)
-    w = Window.partitionBy("file_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.last("loop", ignorenulls=True).over(w))
-    return rows.filter(F.col("at").isNotNull() & (F.col("depth") > F.col("at")) & F.col("plain").rlike(r"\blog\.\w+\(")).select("file_id", "n", F.col("depth").cast("bigint").alias("depth"))
+    rows = legacy.in_loops(_lines(spark, folder))
+    return rows.filter(F.col("inside") & F.col("plain").rlike(r"\blog\.\w+\(")).select("file_id", "n", F.col("depth").cast("bigint").alias("depth"))
+
+
+def l6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return legacy.leaks(_lines(spark, folder))
 
 
 def l1_ignored_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +224,7 @@ _ECO = "CASE " + " ".join("WHEN " + " OR ".join([f"import_path = '{e}'"] * bool(
 QUERIES = {f.__name__: f for f in (
     s2_skip_reasons, s9_discovery_stats, s3_ignored, t1_language, x5_imports, g4_import_nodes, g6_upsert, i4_ecosystems, i6_document_ecosystems, e3_gate, r18_layers,
     t2_fact_ids, t3_selectors, t8_modes, t9_limit_lines, t10_excerpt, t12_tokens, t14_redact, t16_levels, k2_report_rules, k2_results, v2_review_plan, v10_cited, c7_evidence_kinds,
-    l1_ignored_errors, l2_nil_dereference, l3_function_length, l4_token_complexity, l5_loop_calls, l7_sql_text,
+    l1_ignored_errors, l2_nil_dereference, l3_function_length, l4_token_complexity, l5_loop_calls, l6_leaks, l7_sql_text,
 )}
 
 ORACLE = {
@@ -265,5 +263,12 @@ SELECT s.file_id, name, n, coalesce(nx, last + 1) - n AS length FROM s JOIN e US
 d AS (SELECT *, coalesce(CAST(sum(length(regexp_replace(plain, '[^{{]', '', 'g')) - length(regexp_replace(plain, '[^}}]', '', 'g'))) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS depth FROM p),
 l AS (SELECT *, last_value(CASE WHEN regexp_matches(plain, '^\\s*for\\b.*\\{{\\s*$') THEN depth END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp FROM d)
 SELECT file_id, n, depth FROM l WHERE lp IS NOT NULL AND depth > lp AND regexp_matches(plain, '\\blog\\.\\w+\\(')""",
+    "l6_leaks": f"""WITH {_LN}, p AS (SELECT file_id, n, regexp_replace(line, '"[^"]*"|''[^'']*''|`[^`]*`|//.*$', '', 'g') AS plain FROM ln),
+d AS (SELECT *, coalesce(CAST(sum(length(regexp_replace(plain, '[^{{]', '', 'g')) - length(regexp_replace(plain, '[^}}]', '', 'g'))) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS depth FROM p),
+l AS (SELECT *, last_value(CASE WHEN regexp_matches(plain, '^\\s*for\\b.*\\{{\\s*$') THEN depth END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp FROM d),
+m AS (SELECT file_id, n, plain, regexp_extract(plain, '(\\w+)\\s*:?=\\s*context\\.With(Cancel|Timeout|Deadline)\\w*\\(', 1) AS name FROM p)
+SELECT file_id, n, 'timer' AS leak FROM l WHERE coalesce(depth > lp, false) AND regexp_matches(plain, '\\btime\\.After\\(')
+UNION ALL SELECT file_id, n, 'goroutine' FROM l WHERE coalesce(depth > lp, false) AND regexp_matches(plain, '\\bgo\\s+(func|[\\w.]+\\s*\\()')
+UNION ALL SELECT file_id, n, 'context' FROM m WHERE name NOT IN ('', '_') AND NOT EXISTS (SELECT 1 FROM p WHERE p.file_id = m.file_id AND list_contains(regexp_extract_all(p.plain, '(\\w+)\\(\\)', 1), m.name))""",
     "l7_sql_text": f"WITH {_LN} SELECT file_id, n FROM ln WHERE regexp_matches(line, '{legacy.DB_CALL}') AND regexp_matches(line, '{legacy.BUILT}')",
 }

@@ -110,3 +110,36 @@ def test_stage_coverage(spark):
     assert got[("Go", "parse")] == (3, 3, 2, 1) and got[("Go", "structural")] == (3, 3, 1, 1) and got[("Go", "semantic")] == (3, 3, 1, 0) and got[("Lua", "parse")] == (1, 0, 0, 0)
     cov = language_coverage(df.withColumnRenamed("parse", "parsed"), [])
     assert parse_failures(cov, []).first()[0] == 1 and analyzed_languages(cov, []).first()[0] == 1
+
+
+def test_reports_by_format(spark, tmp_path):
+    rows = [("a", "R1", "High", "Security", "one", "x.go", 1, 1, [], 1), ("b", "R2", None, "Maintainability", "two", None, None, None, None, 1), ("c", "R2", "Low", "Maintainability", "three", "y.go", 1, 1, None, 2)]
+    df = spark.createDataFrame(rows, "id string, rule_id string, severity string, category string, title string, file string, start_line int, end_line int, steps array<struct<kind:string,file:string,line:int,column:int,expression:string,message:string,related_symbol:string>>, place int")
+    reports.write("sarif", str(tmp_path / "s"), df)
+    assert [r["ruleId"] for r in json.loads((tmp_path / "s").read_text())["runs"][0]["results"]] == ["R1", "R2", "R2"]
+    reports.write("json", str(tmp_path / "j"), df)
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+    counts = spark.createDataFrame([("Low", 0, 1), ("High", 1, 0)], "severity string, defects int, measured int")
+    text = reports.markdown(counts, spark.createDataFrame([("R2", 2)], "rule_id string, n int"), spark.createDataFrame([("Security", 92.0)], "category string, score double"), findings=df, most=1)
+    assert text.index("| High") < text.index("| Low") and "- `R2`: 1 more" in text and "three" not in text and "2 findings: 1 defects, 1 measured." in text
+    reports.write("markdown", str(tmp_path / "m"), df, text)
+    assert (tmp_path / "m").read_text() == text
+    with pytest.raises(ValueError):
+        reports.write("pdf", str(tmp_path / "p"), df)
+    assert json.loads(reports.sarif(df.limit(0)))["runs"][0]["results"] == []
+
+
+def test_leaks_in_loops_and_contexts(spark):
+    from quarry.operators.legacy import leaks
+
+    lines = ["func f() {", "for i := range x {", "go func() {", "<-time.After(1)", "}()", "}", "time.After(2) // not in a loop", "ctx, cancel := context.WithCancel(p)", "c2, stop := context.WithTimeout(p, 1)", "defer stop()", "}"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "file_id int, n int, line string")
+    assert {(r.n, r.leak) for r in leaks(df).collect()} == {(2, "goroutine"), (3, "timer"), (7, "context")}
+
+
+def test_secrets_of_a_batch_are_numbered(spark):
+    from quarry.operators.review import redact_batches
+
+    rows = [(1, "b", 'token = "abcdefgh1"', "Bearer abcdefghijkl"), (1, "a", 'password: "abcdefgh2"', None), (2, "a", 'token = "abcdefgh1"', "")]
+    got = {(r.g, r.id): (r.x, r.y) for r in redact_batches(spark.createDataFrame(rows, "g int, id string, x string, y string"), "g", "id", ["x", "y"]).collect()}
+    assert got == {(1, "a"): ('password: "<REDACTED_SECRET_1>"', None), (1, "b"): ('token = "<REDACTED_SECRET_2>"', "<REDACTED_SECRET_3>"), (2, "a"): ('token = "<REDACTED_SECRET_1>"', "")}
