@@ -363,15 +363,15 @@ def ecosystems(imports: DataFrame) -> DataFrame:
     return imports.select("repo", ecosystem(F.col("path")).alias("ecosystem")).filter("ecosystem is not null").distinct()
 
 
-def run(facts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Findings of all rules over the facts of `semantic_facts`, with `repo` where there are several repositories.
+def run(facts: DataFrame | Context, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Findings of all rules over the facts of `semantic_facts`, with `repo` where there are several repositories, or a context of them.
 
     A rule is active in a repository that uses all ecosystems it requires. A
     context-required rule with a finding that lacks observation or hypothesis
     gives none. Facts without a place give no finding.
     """
     known = register(rules)
-    c = Context(facts)
+    c = facts if isinstance(facts, Context) else Context(facts)
     by: dict[str, list[Rule]] = {}
     for r in known.values():
         by.setdefault(r.pattern, []).append(r)

@@ -99,7 +99,8 @@ def q5_stats(spark: SparkSession, folder: str) -> DataFrame:
 def c1_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of the findings of the catalogue over all files."""
     facts = written_facts(spark, folder)
-    found = rules.run(facts).withColumn("finding_id", F.substring(F.sha2(F.concat_ws("\0", "rule_id", "file", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "title", "snippet"), 256), 1, 16)).dropDuplicates(["finding_id"])
+    shared = rules.Context(facts)
+    found = rules.run(shared).withColumn("finding_id", F.substring(F.sha2(F.concat_ws("\0", "rule_id", "file", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "title", "snippet"), 256), 1, 16)).dropDuplicates(["finding_id"])
     found = materialize(found.select("finding_id", "rule_id", "file", "start_line", "end_line", "steps", "symbols"), "findings")
     files = table(spark, folder, "files").dropDuplicates(["file_id"]).select(F.concat_ws(":", F.col("file_id").cast("string"), "path").alias("file"), "content")
     functions = facts.filter("kind = 'function'").select("repo", "file", F.col("operation").alias("name"), F.col("arguments").alias("parameters"), "start_line", "end_line")
@@ -113,7 +114,7 @@ def c1_packets(spark: SparkSession, folder: str) -> DataFrame:
         met = graph.relations(e, wanted.select("start"), context.LIMITS["depth"], context.LIMITS["callers"], reverse)
         return met.join(wanted, "start").select("file", "fn", "node", "rank").join(place.drop("file"), "node")
 
-    traces = taint.traces(facts.filter("kind not in ('function', 'import', 'symbol')"), functions).select("source_id", "sink_id", "path")
+    traces = shared.traces().select("source_id", "sink_id", "path")
     known = facts.filter("kind = 'import'").select("file", ecosystem(F.col("operation")).alias("ecosystem")).filter("ecosystem is not null").distinct()
     items = context.evidence(found, files, facts, functions, traces, related(True), related(False), nodes.select("file", "name", "kind", "start_line", "end_line"), known)
     return context.packets(found, items).select("finding_id", "items", "tokens", "truncated", "sufficiency", F.array_join(F.transform("evidence", lambda x: x["id"]), ",").alias("evidence_ids"))
