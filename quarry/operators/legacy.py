@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 # What is called without looking at its error, as an expression of both regex dialects in use.
-SAFE_CALLEES = ["fmt.Print", "fmt.Println", "fmt.Printf", "fmt.Fprint", "fmt.Fprintf", "fmt.Fprintln", "copy", "append", "len", "cap", "close", "delete", "panic", "recover", "make", "new"]
+SAFE_CALLEES = [
+    "recover", "time.Now", "copy", "append", "delete", "close", "fmt.Print", "fmt.Println", "fmt.Printf", "fmt.Fprint", "fmt.Fprintln", "fmt.Fprintf", "fmt.Sprint", "fmt.Sprintln", "fmt.Sprintf",
+    "log.Print", "log.Println", "log.Printf", "atomic.AddInt", "hash.Write", "hasher.Write", "h.Write", "io.Copy", "response.Body.Close", "req.Body.Close", "res.Body.Close",
+]
 SAFE = r"_\s*:?=\s*(" + "|".join(c.replace(".", r"\.") for c in SAFE_CALLEES) + r")\("
-#: A database call, and a statement in it that is joined or formatted from parts.
-DB_CALL = r"\.([qQ]uery|[qQ]ueryRow|[eE]xec|[rR]aw)(Context)?\("
-BUILT = r"(?i)(select|insert|update|delete)\b[^\"]*\"\s*\+\s*[a-z_]|sprintf\(\s*\"[^\"]*(select|insert|update|delete)"
+# Methods that take SQL. A statement is built if it is formatted, or joined with what is no literal; placeholders speak against the latter.
+DB_CALL = r"\b(Query|QueryRow|Exec|Prepare)(Context)?\s*\("
+FORMATTED = DB_CALL + r"\s*fmt\.Sprintf\s*\("
+JOINED = DB_CALL + r"[^)]*\"[^\"]*\"\s*\+\s*[^\"\s]"
+PLACEHOLDER = r"\?\s*[,)]|\$[0-9]"
 
 
 def ignored_error(line: Column) -> Column:
@@ -21,7 +26,7 @@ def ignored_error(line: Column) -> Column:
 
 def sql_by_concatenation(line: Column) -> Column:
     """A database call whose statement is joined with a variable or formatted from parts."""
-    return line.rlike(DB_CALL) & line.rlike(BUILT)
+    return line.rlike(FORMATTED) | (line.rlike(JOINED) & ~line.rlike(PLACEHOLDER))
 
 
 def nil_dereference(lines: DataFrame) -> DataFrame:

@@ -270,5 +270,5 @@ m AS (SELECT file_id, n, plain, regexp_extract(plain, '(\\w+)\\s*:?=\\s*context\
 SELECT file_id, n, 'timer' AS leak FROM l WHERE coalesce(depth > lp, false) AND regexp_matches(plain, '\\btime\\.After\\(')
 UNION ALL SELECT file_id, n, 'goroutine' FROM l WHERE coalesce(depth > lp, false) AND regexp_matches(plain, '\\bgo\\s+(func|[\\w.]+\\s*\\()')
 UNION ALL SELECT file_id, n, 'context' FROM m WHERE name NOT IN ('', '_') AND NOT EXISTS (SELECT 1 FROM p WHERE p.file_id = m.file_id AND list_contains(regexp_extract_all(p.plain, '(\\w+)\\(\\)', 1), m.name))""",
-    "l7_sql_text": f"WITH {_LN} SELECT file_id, n FROM ln WHERE regexp_matches(line, '{legacy.DB_CALL}') AND regexp_matches(line, '{legacy.BUILT}')",
+    "l7_sql_text": f"WITH {_LN} SELECT file_id, n FROM ln WHERE regexp_matches(line, '{legacy.FORMATTED}') OR regexp_matches(line, '{legacy.JOINED}') AND NOT regexp_matches(line, '{legacy.PLACEHOLDER}')",
 }

@@ -71,6 +71,9 @@ def test_line_rules(spark):
         assert one(spark, ignored_error(F.col("v")), v=line) is want
     assert one(spark, sql_by_concatenation(F.col("v")), v='db.Query("select a from b where c = " + id)')
     assert not one(spark, sql_by_concatenation(F.col("v")), v='db.Query("select a from b where c = ?", id)')
+    assert one(spark, sql_by_concatenation(F.col("v")), v='tx.ExecContext(ctx, "delete from a where b = " + id)') and one(spark, sql_by_concatenation(F.col("v")), v='db.Exec(fmt.Sprintf("x %s", id))')
+    assert not one(spark, sql_by_concatenation(F.col("v")), v='db.Query("select a " + "from b")') and not one(spark, sql_by_concatenation(F.col("v")), v='log("select a" + id)')
+    assert not one(spark, ignored_error(F.col("v")), v="_ = fmt.Println(x)") and not one(spark, ignored_error(F.col("v")), v="n, _ := io.Copy(a, b)")
 
 
 def test_config_precedence(tmp_path):
