@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
+#: Most edges and nodes of a graph that one Python worker holds; an edge takes 8 bytes while it is read and 4 afterwards.
+BIT_EDGES, BIT_NODES = 16_000_000, 1_000_000
+#: Bits that the levels of one group of starts may take together.
+BITS = 1 << 30
+
 
 def canonical(col: Column) -> Column:
     """A receiver's type without parentheses, its last word, without leading stars."""
@@ -61,6 +68,102 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     return seen if seen is not None else starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).limit(0)
 
 
+def reach_dense(edges: DataFrame, depth: int) -> DataFrame:
+    """As `reach` from every node that has an edge, for graphs with many more walks than pairs of nodes.
+
+    Joins make a row of every walk. Where that is more than sending the whole
+    graph to each of a few groups of starts, a group keeps a bit for each of its
+    starts at every node instead, and an edge passes on all of them at once; no
+    pair is shuffled. Graphs of few walks, or too large for a worker, are joined.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    e = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    joined = lambda: reach(e, e.select(F.col("src").alias("start")), depth)
+    n_edges = e.count()
+    if not 0 < depth < 256 or n_edges > BIT_EDGES:
+        return joined()
+    nodes = materialize(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    if nodes.count() > BIT_NODES:
+        return joined()
+    lists = e.join(nodes.select(F.col("node").alias("src"), "id"), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("to")), "dst").groupBy("id").agg(F.collect_list("to").alias("next"))
+    whole = nodes.join(lists, "id", "left").select("id", "node", F.coalesce("next", F.array().cast("array<bigint>")).alias("next"))
+    whole = materialize(whole, "graph")
+    n_nodes, n_starts = whole.agg(F.count(F.lit(1)), F.count_if(F.size("next") > 0)).first()
+    groups = _groups(n_nodes, n_starts, depth, e.sparkSession.sparkContext.defaultParallelism)
+    if _walks(whole, depth) <= groups * (n_nodes + n_edges):
+        return joined()
+    sent = whole.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartitionById(groups, "group")
+    return sent.mapInArrow(_in_bits(depth, groups), f"start {kind}, node {kind}, distance int")
+
+
+def _groups(nodes: int, starts: int, depth: int, parallelism: int) -> int:
+    """Groups of at least 64 starts whose levels stay within BITS, two for each core where there are so many."""
+    each = max(64, BITS // (depth + 2) // max(1, nodes) // 64 * 64)
+    return max(1, -(-starts // each), min(-(-starts // 64), 2 * parallelism))
+
+
+def _walks(whole: DataFrame, depth: int) -> float:
+    """Walks of 1..depth edges: the rows that joins would make, if no pair were met twice."""
+    now = whole.select("next", F.lit(1.0).alias("walks"))
+    sums: DataFrame | None = None
+    for d in range(depth):
+        one = now.agg(F.sum(F.col("walks") * F.size("next")).alias("walks"))
+        sums = one if sums is None else sums.union(one)
+        if d + 1 < depth:
+            at = now.select(F.explode("next").alias("id"), "walks").groupBy("id").agg(F.sum("walks").alias("walks"))
+            now = whole.join(at, "id").select("next", "walks")
+    return sums.agg(F.sum("walks")).first()[0] or 0.0
+
+
+def _in_bits(depth: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a partition with the whole graph (id, node, next, group): what each start of the group reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, sizes, nexts, group = [], [], [], [], 0
+        for b in batches:
+            if b.num_rows:
+                group = b.column("group")[0].as_py()
+                names.append(b.column("node"))
+                ids.append(b.column("id").to_numpy())
+                sizes.append(np.asarray(b.column("next").value_lengths()))
+                nexts.append(b.column("next").flatten().to_numpy())
+        if not ids:
+            return
+        names, ids, sizes = pa.chunked_array(names).combine_chunks(), np.concatenate(ids), np.concatenate(sizes)
+        order = np.argsort(ids)
+        ids = ids[order]
+        for i, x in enumerate(nexts):
+            nexts[i] = order[np.searchsorted(ids, x)].astype(np.int32)
+        nexts, ends = np.concatenate(nexts), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        mine = order[sizes[order] > 0][group::groups]  # in the order of ids, which is the same in every group
+        if not len(mine):
+            return
+        n, bit = len(ids), np.arange(len(mine))
+        front = np.zeros((n, -(-len(mine) // 64)), np.uint64)
+        front.view(np.uint8)[mine, bit >> 3] = 128 >> (bit & 7)
+        seen, levels = front.copy(), []
+        for _ in range(depth):
+            new = np.zeros_like(front)
+            for u in np.flatnonzero(front.any(axis=1)):
+                new[nexts[ends[u] : ends[u + 1]]] |= front[u]
+            new &= ~seen
+            if not new.any():
+                break
+            seen |= new
+            levels.append(new.view(np.uint8))
+            front = new
+        own = names.take(pa.array(mine))
+        for k in range(-(-len(mine) // 8)):
+            for low in range(0, n, 16384):
+                dist = sum(np.unpackbits(x[low : low + 16384, k]) * np.uint8(d) for d, x in enumerate(levels, 1))
+                if np.any(dist):
+                    dist = np.ascontiguousarray(dist.reshape(-1, 8).T)
+                    s, v = np.nonzero(dist)
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(s + 8 * k)), names.take(pa.array(v + low)), pa.array(dist[s, v].astype(np.int32))], ["start", "node", "distance"])
+
+    return run
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, most: int = 11, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, src, dst, path): all simple paths of 2..most nodes between given pairs; a path stops at its target.
 

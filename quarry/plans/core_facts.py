@@ -74,8 +74,7 @@ def i1_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 def q1_reach(spark: SparkSession, folder: str) -> DataFrame:
     """What every function that calls another reaches within three calls."""
-    e = call_edges(spark, folder)
-    return graph.reach(e, e.select(F.col("src").alias("start")), 3).select("start", "node", F.col("distance").cast("bigint").alias("distance"))
+    return graph.reach_dense(call_edges(spark, folder), 3).select("start", "node", F.col("distance").cast("bigint").alias("distance"))
 
 
 def q2_called_by(spark: SparkSession, folder: str) -> DataFrame:
